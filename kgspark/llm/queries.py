@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import components, split
+from kgspark.llm import components, fusion, leaks, mixing, spam, split
 from kgspark.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.fuse(table(spark, d, "kg_entities"), table(spark, d, "sources")).select("id", "field_name", "kept_value")
+
+
+def p1_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """The values of greatest posterior without the prior of trust."""
+    x = fusion.fuse(table(spark, d, "kg_entities"), table(spark, d, "sources"), prior="none")
+    return x.withColumn("posterior", F.round("posterior", 6)).withColumn("accuracy", F.round("accuracy", 6))
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     docs = split.oversized(table(spark, d, "documents"), "document", "doc_id")
     return docs.unionByName(split.oversized(table(spark, d, "chunks"), "chunk", "chunk_id"))
@@ -24,5 +34,45 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.groups(table(spark, d, "merge_pairs"))
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    x = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return x.withColumn("share", F.round("share", 6))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without the leaked passages."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return leaks.remove(docs, leaks.leaks(docs, table(spark, d, "eval_items")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    _, planned = mixing.mixed(table(spark, d, "documents"), table(spark, d, "sources"))
+    return mixing.shares(planned).where("below").select("source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    _, planned = mixing.mixed(table(spark, d, "documents"), table(spark, d, "sources"))
+    return mixing.shares(planned).withColumn("actual_share", F.round("actual_share", 9))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    lengths, planned = mixing.mixed(table(spark, d, "documents"), table(spark, d, "sources"))
+    return mixing.mix(lengths, planned).withColumnsRenamed({"k": "doc_id", "n": "n_tokens"})
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam(table(spark, d, "documents"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    x = spam.scores(table(spark, d, "documents"))
+    return x.select("doc_id", F.round("link_share", 6).alias("link_share"), F.round("stuffed_share", 6).alias("stuffed_share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found)}
+    found = (p1_found, p1_fusion, p2_found, p2_pieces, p4_found, p8_found, p8_spans, p8_clean, p9_found, p9_shares, p9_mix, p10_found, p10_scores)
+    return {f.__name__: f for f in found}
