@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import components, fusion, leaks, mixing, spam, split
+from kgspark.llm import components, fusion, language, leaks, mixing, neighbours, spam, split
 from kgspark.session import table
 
 
@@ -30,10 +30,42 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("piece_no = 0").select("item_kind", "item_id", "boundary")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.pairs(neighbours.neighbours(table(spark, d, "kg_entities"), "rec_id", "embedding", 5, least=0.85), 0.85)
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar others of every record whose id is divisible by 20, against all records."""
+    x = neighbours.neighbours(table(spark, d, "kg_entities"), "rec_id", "embedding", 5, queries=F.col("id") % 20 == 0, lists=1)
+    return x.select("id", "other", F.round("cosine", 5).alias("cosine"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.groups(table(spark, d, "merge_pairs"))
 
 
+def _labelled_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(record_kind, record_id, item_no, text, label) of documents, evidence and aliases."""
+    docs = table(spark, d, "documents").select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"), F.lit(0).cast("long").alias("item_no"), "text", F.col("lang").alias("label"))
+    ev = table(spark, d, "kg_edges").select("seq", F.posexplode("evidence").alias("i", "e"))
+    ev = ev.select(F.lit("evidence"), "seq", F.col("i").cast("long"), "e.text", "e.language")
+    al = table(spark, d, "kg_entities").select("rec_id", F.posexplode("aliases").alias("i", "e"))
+    return docs.union(ev).union(al.select(F.lit("alias"), "rec_id", F.col("i").cast("long"), "e.text", "e.lang"))
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's segments with language and confidence."""
+    found = language.classify(_labelled_texts(spark, d), language.train(table(spark, d, "documents")))
+    return found.withColumn("confidence", F.round("confidence", 4)).drop("n_segments")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    found = language.wrong_labels(language.classify(_labelled_texts(spark, d), language.train(docs)))
+    pages = spam.spam(docs).select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"))
+    return found.join(pages, ["record_kind", "record_id"], "left_anti").select("record_kind", "record_id", "item_no", "segment_no", "lang")
+
+
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     x = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return x.withColumn("share", F.round("share", 6))
@@ -74,5 +106,5 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_fusion, p2_found, p2_pieces, p4_found, p8_found, p8_spans, p8_clean, p9_found, p9_shares, p9_mix, p10_found, p10_scores)
+    found = (p1_found, p1_fusion, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_segments, p8_found, p8_spans, p8_clean, p9_found, p9_shares, p9_mix, p10_found, p10_scores)
     return {f.__name__: f for f in found}
