@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import components, fusion, language, leaks, mixing, neighbours, spam, split
+from kgspark.llm import canonical, components, fusion, language, leaks, mixing, neighbours, spam, split
 from kgspark.session import table
 
 
@@ -66,6 +66,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.join(pages, ["record_kind", "record_id"], "left_anti").select("record_kind", "record_id", "item_no", "segment_no", "lang")
 
 
+def _mapped_edges(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "candidate_edges").select("seq", "relation_candidate")
+    return canonical.mapped(edges, "relation_candidate", table(spark, d, "relations")).where("match_score < 3")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped_edges(spark, d).select("seq", F.col("matched_id").alias("relation_id")).distinct()
+
+
+def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values like nothing in the list, and how many rows have them."""
+    x = _mapped_edges(spark, d).where(F.col("matched_id") == canonical.UNMATCHED)
+    return x.groupBy(F.lower(F.btrim("relation_candidate")).alias("value")).agg(F.countDistinct("seq").alias("n_rows"))
+
+
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     x = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return x.withColumn("share", F.round("share", 6))
@@ -106,5 +121,5 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_fusion, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_segments, p8_found, p8_spans, p8_clean, p9_found, p9_shares, p9_mix, p10_found, p10_scores)
+    found = (p1_found, p1_fusion, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_segments, p6_found, p6_unmatched, p8_found, p8_spans, p8_clean, p9_found, p9_shares, p9_mix, p10_found, p10_scores)
     return {f.__name__: f for f in found}
