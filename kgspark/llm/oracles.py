@@ -5,10 +5,10 @@ WITH v AS (
   SELECT id, 'canonical_name' AS field_name, trim(canonical_name, E' \t\r\n') AS value, source, updated_at FROM kg_entities
   UNION ALL SELECT id, 'status', trim(status, E' \t\r\n'), source, updated_at FROM kg_entities
   UNION ALL SELECT id, 'base_types', array_to_string(list_sort(list_distinct(list_transform(list_filter(base_types, lambda x:
-    regexp_matches(x, '[\p{L}\p{N}]') AND lower(trim(x)) NOT IN ('n/a','na','n.a.','tbd','tba','unknown','none','null','nil','undefined','not known','not available','missing','unspecified')), lambda x: trim(x)))), '|'), source, updated_at FROM kg_entities),
+    regexp_matches(x, '[\p{L}\p{N}]') AND lower(trim(x)) NOT IN ('n/a','na','n.a.','tbd','tba','unknown','none','null','nil','undefined','not known','not available','missing','unspecified','unnamed','no name')), lambda x: trim(x)))), '|'), source, updated_at FROM kg_entities),
 c AS (SELECT v.*, coalesce(s.trust, 0) AS trust FROM v LEFT JOIN sources s USING (source)
   WHERE value IS NOT NULL AND regexp_matches(value, '[\p{L}\p{N}]') AND NOT regexp_matches(value, '(…|\.\.\.)$')
-    AND lower(value) NOT IN ('n/a','na','n.a.','tbd','tba','unknown','none','null','nil','undefined','not known','not available','missing','unspecified')
+    AND lower(value) NOT IN ('n/a','na','n.a.','tbd','tba','unknown','none','null','nil','undefined','not known','not available','missing','unspecified','unnamed','no name')
     AND id IN (SELECT id FROM kg_entities GROUP BY id HAVING count(*) > 1)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id, field_name ORDER BY trust DESC, updated_at DESC NULLS LAST, value) AS k FROM c)
 SELECT id, field_name, value AS kept_value FROM r WHERE k = 1

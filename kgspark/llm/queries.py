@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import canonical, components, fusion, language, leaks, mixing, neighbours, spam, split
+from kgspark.llm import canonical, components, fusion, language, leaks, mixing, names, neighbours, spam, split
 from kgspark.session import table
 
 
@@ -81,6 +81,10 @@ def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(F.lower(F.btrim("relation_candidate")).alias("value")).agg(F.countDistinct("seq").alias("n_rows"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variants(table(spark, d, "candidate_entities"), table(spark, d, "kg_entities")).select("seq", "id").distinct()
+
+
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     x = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return x.withColumn("share", F.round("share", 6))
@@ -121,5 +125,5 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_fusion, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_segments, p6_found, p6_unmatched, p8_found, p8_spans, p8_clean, p9_found, p9_shares, p9_mix, p10_found, p10_scores)
+    found = (p1_found, p1_fusion, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_segments, p6_found, p6_unmatched, p7_found, p8_found, p8_spans, p8_clean, p9_found, p9_shares, p9_mix, p10_found, p10_scores)
     return {f.__name__: f for f in found}
