@@ -64,7 +64,9 @@ def spans(text: str) -> list[tuple[str, int, int, str]]:
         titled = w.rstrip(_ENDS).lower() in TITLES or w.lower() in TITLES
         run, last, j = [k], k, k + 1
         while j < len(toks) and not gap(j).strip() and "\n" not in gap(j):
-            v = toks[j][0]
+            v, u = toks[j][0], toks[j - 1][0]
+            if u[-1:] in ".!?" and u.lower() not in TITLES and len(u.rstrip(_ENDS)) > 1:  # a sentence ends before
+                break
             if _capital(v) and not (titled and v.rstrip(_ENDS).lower() in STOPS):
                 run.append(j)
                 last = j
@@ -74,8 +76,6 @@ def spans(text: str) -> list[tuple[str, int, int, str]]:
                 j += 1
             else:
                 break
-            if toks[j - 1][0][-1:] in ".!?" and toks[j - 1][0].lower() not in TITLES and len(toks[j - 1][0].rstrip(_ENDS)) > 1:
-                break
         words = [toks[i][0].rstrip(_ENDS) for i in run if i <= last]
         name = text[begin : toks[last][2]].strip().rstrip(_ENDS)
         low = name.lower()
