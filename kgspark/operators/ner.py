@@ -50,8 +50,8 @@ def _capital(w: str) -> bool:
     return w[:1].isalpha() and w[:1].isupper()
 
 
-def spans(text: str) -> list[tuple[str, int, int, str]]:
-    """(text, start, end, label) of the names; positions count bytes. Doubles, stop words and single letters are left out."""
+def spans(text: str, unique: bool = True) -> list[tuple[str, int, int, str]]:
+    """(text, start, end, label) of the names; positions count bytes. Stop words and single letters are left out, and repeats if ``unique``."""
     # a word, and whether a line break or a separating sign stands before it
     toks = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
     out, seen, k = [], set(), 0
@@ -86,7 +86,7 @@ def spans(text: str) -> list[tuple[str, int, int, str]]:
             label = ""
         else:
             label = classify(words, toks[k - 1][0] if k else "")
-        if label and len(name.encode()) >= 2 and low not in STOPS and (low, label) not in seen:
+        if label and len(name.encode()) >= 2 and low not in STOPS and not (unique and (low, label) in seen):
             seen.add((low, label))
             start = len(text[:begin].encode())
             out.append((name, start, start + len(name.encode()), label))

@@ -52,7 +52,8 @@ class RuleProvider(HashEmbedder):
         found = spans(user)
         entities = [{"mention": t, "canonical_candidate": t.lower(), "base_type_candidates": [{"type": LABEL_TYPES.get(x, "concept"), "score": 0.8}], "evidence": t} for t, _, _, x in found]
         data, rels = user.encode(), []
-        for (a, _, e, _), (b, s, _, _) in zip(found, found[1:]):
+        every = spans(user, unique=False)
+        for (a, _, e, _), (b, s, _, _) in zip(every, every[1:]):
             between = data[e:s].decode(errors="replace").lower()
             for phrase, rel in self.PHRASES:
                 if phrase in between and "." not in between:
