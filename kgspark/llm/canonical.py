@@ -9,11 +9,10 @@ weighing more, with filler words of little weight. What that leaves open is look
 whole in a BK-tree over the entries written without blanks. An entry is known by its id, its
 aliases and its description; the last need not be covered, only to cover the value.
 
-The result is a pure function of the value, and each Python worker remembers values it has
-seen, so rows are mapped where they are, without a shuffle; a value that a third of all rows
-have is worked out once per worker. The reference is a list of fixed size, sent to every task
-up to ``MAX_ENTRIES`` entries; with ``shards`` it is searched in parts, and the shards' winners
-are merged by their score.
+The result is a pure function of the value's words, so every different sequence of words is worked
+out once and joined back; a value that a third of all rows have costs no more than another. The
+reference is a list of fixed size, sent to every task up to ``MAX_ENTRIES`` entries; with
+``shards`` it is searched in parts, and the shards' winners are merged by their score.
 
 Defined results: null and blank values are left out; values like nothing in the list are
 ``UNMATCHED``; of equally good entries the one first in the alphabet wins; an empty reference
@@ -28,7 +27,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNMATCHED, MAX_ENTRIES, REMEMBERED = "UNMATCHED", 100_000, 500_000
@@ -64,16 +63,25 @@ def stem(w: str) -> str:
 
 def distance(a: str, b: str) -> int:
     """Levenshtein distance, one word of bits for a column."""
-    if not a or not b:
-        return len(a) + len(b)
-    peq: dict[str, int] = {}
+    return _distance(positions(a), len(a), b)
+
+
+def positions(a: str) -> dict[str, int]:
+    """Where each letter stands in ``a``, as bits."""
+    out: dict[str, int] = {}
     for i, c in enumerate(a):
-        peq[c] = peq.get(c, 0) | 1 << i
-    mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    pv, mv, score = mask, 0, len(a)
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _distance(at: dict[str, int], n: int, b: str) -> int:
+    if not n or not b:
+        return n + len(b)
+    mask, top = (1 << n) - 1, 1 << n - 1
+    pv, mv, score = mask, 0, n
+    get = at.get
     for c in b:
-        eq = peq.get(c, 0)
-        xv = eq | mv
+        eq = get(c, 0)
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv)
         mh = pv & xh
@@ -82,8 +90,8 @@ def distance(a: str, b: str) -> int:
         elif mh & top:
             score -= 1
         ph = (ph << 1) | 1
-        mh <<= 1
-        pv = (mh | ~(xv | ph)) & mask
+        xv = eq | mv
+        pv = ((mh << 1) | ~(xv | ph)) & mask
         mv = ph & xv & mask
     return score
 
@@ -111,13 +119,15 @@ class BKTree:
             node = node[1][d]
 
     def within(self, x: str, r: int) -> list[tuple[int, str]]:
-        out, todo = [], [self.root] if self.root else []
+        out, todo, at, size = [], [self.root] if self.root else [], positions(x), len(x)
         while todo:
             y, below = todo.pop()
-            d = distance(x, y)
+            d = _distance(at, size, y)
             if d <= r:
                 out.append((d, y))
-            todo += [n for k, n in below.items() if d - r <= k <= d + r]
+            for k in range(d - r, d + r + 1):
+                if k in below:
+                    todo.append(below[k])
         return sorted(out)
 
 
@@ -159,6 +169,7 @@ class Reference:
                 self.whole.setdefault("".join(words(name)), i)
         self.phrases = BKTree(iter(sorted(self.whole)))
         self.near: dict[str, list[tuple[float, str]]] = {}
+        self.weights: dict[str, float] = {}
 
     def alike(self, w: str) -> list[tuple[float, str]]:
         """(similarity, word of the reference) of the words within reach."""
@@ -180,13 +191,19 @@ class Reference:
 
     def unknown(self, w: str) -> float:
         """Weight of a word like none of the reference's."""
-        if len(w) <= 4 and any(distance(w, f) <= 1 for f in FILLERS if len(f) > 1):
-            return LIGHT
-        return SHORT * self.most if len(w) <= 3 else self.most
+        got = self.weights.get(w)
+        if got is None:
+            filler = len(w) <= 4 and any(abs(len(w) - len(f)) < 2 and distance(w, f) <= 1 for f in FILLERS if len(f) > 1)
+            if len(self.weights) > REMEMBERED:
+                self.weights.clear()
+            got = self.weights[w] = LIGHT if filler else SHORT * self.most if len(w) <= 3 else self.most
+        return got
 
     def match(self, value: str) -> tuple[float, str]:
         """(score, id), or (0, UNMATCHED)."""
-        typed = words(value)
+        return self.match_words(words(value))
+
+    def match_words(self, typed: list[str]) -> tuple[float, str]:
         ws = [stem(w) for w in typed]
         if not ws:
             return 0.0, UNMATCHED
@@ -244,7 +261,10 @@ def swaps(w: str) -> list[str]:
     return [w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1) if w[i] != w[i + 1]]
 
 
-_memory: dict[tuple, dict] = {}
+def word_form(value: Column) -> Column:
+    """The words of a value, lower-cased, with a blank between them: what ``words`` finds."""
+    x = F.regexp_replace(value, r"(?<=[a-z0-9])(?=[A-Z])", " ")
+    return F.btrim(F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
 
 
 def mapped(df: DataFrame, value: str, reference: DataFrame, key: str = "relation_id", text: str = "description", aliases: str = "aliases", shards: int = 1) -> DataFrame:
@@ -252,45 +272,32 @@ def mapped(df: DataFrame, value: str, reference: DataFrame, key: str = "relation
 
     A value that exactly equals an id is given that id with the score 3.
     """
+    spark = df.sparkSession
     size = reference.count()
     if size > MAX_ENTRIES * shards:
         raise ValueError(f"{size} entries need more than {shards} shards of {MAX_ENTRIES}")
     clash = [c for c in df.columns if c.lower() in ("matched_id", "match_score")]
     x = df.drop(*clash).where(F.col(value).isNotNull() & (F.btrim(F.col(value), F.lit(" \t\r\n")) != ""))
-    out, score = None, []
+    ids = reference.select(F.col(key).alias("__id")).where("__id is not null").distinct()
+    x = x.join(F.broadcast(ids), F.col(value) == F.col("__id"), "left").withColumn("__form", word_form(F.col(value)))
+    # a number of partitions of its own, as what costs here is the search, not the few bytes
+    forms = x.where("__id is null").select("__form").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "__form")
+    found = None
     for s in range(shards):
         part = reference.where(F.pmod(F.xxhash64(key), F.lit(shards)) == s).select(key, text, aliases).where(F.col(key).isNotNull()).collect()
-        sent = df.sparkSession.sparkContext.broadcast(sorted((r[0], r[1] or "", tuple(r[2] or ())) for r in part))
-
-        def run(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.DataFrame]:
-            entries = tuple(sent.value)
-            if entries not in _memory:
-                _memory.clear()
-                _memory[entries] = {"ref": Reference(list(entries)), "ids": {e[0] for e in entries}, "seen": {}}
-            own = _memory[entries]
-            ref, ids, seen = own["ref"], own["ids"], own["seen"]
-            for values in batches:
-                rows = []
-                for v in values:
-                    got = seen.get(v)
-                    if got is None:
-                        got = (3.0, v) if v in ids else ref.match(v)
-                        if len(seen) > REMEMBERED:
-                            seen.clear()
-                        seen[v] = got
-                    rows.append(got)
-                yield pd.DataFrame(rows, columns=["match_score", "matched_id"])
-
-        udf = F.pandas_udf(_typed(run), "match_score double, matched_id string")
-        x = x.withColumn(f"__m{s}", udf(F.col(value)))
-        score.append(f"__m{s}")
-    best = F.greatest(*[F.col(c) for c in score]) if shards > 1 else F.col(score[0])
-    out = x.withColumn("__b", best).withColumn("match_score", F.col("__b.match_score")).withColumn("matched_id", F.col("__b.matched_id"))
-    return out.drop("__b", *score)
-
-
-def _typed(run):
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return run(batches)
-
-    return typed
+        sent = spark.sparkContext.broadcast(sorted((r[0], r[1] or "", tuple(r[2] or ())) for r in part))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ref = Reference(sent.value)
+            for pdf in batches:
+                rows = [(f, *ref.match_words(f.split())) for f in pdf["__form"]]
+                yield pd.DataFrame(rows, columns=["__form", "match_score", "matched_id"])
+
+        own = forms.mapInPandas(run, "__form string, match_score double, matched_id string")
+        found = own if found is None else found.unionByName(own)
+    if shards > 1:  # the best of the shards, of equal ones the first in the alphabet
+        found = found.groupBy("__form").agg(F.min(F.struct(F.negate("match_score").alias("n"), "matched_id")).alias("b")).select("__form", F.negate("b.n").alias("match_score"), F.col("b.matched_id").alias("matched_id"))
+    out = x.join(found, "__form", "left")
+    exact = F.col("__id").isNotNull()
+    out = out.withColumns({"match_score": F.when(exact, 3.0).otherwise(F.col("match_score")), "matched_id": F.when(exact, F.col("__id")).otherwise(F.col("matched_id"))})
+    return out.drop("__form", "__id")
