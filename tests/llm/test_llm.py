@@ -183,7 +183,9 @@ def test_mix(spark):
 def test_leaks(spark):
     item = "Neither Brofost Clinic nor its landlord in Dalmont wanted to insure the kiosk against frost. Three of the 45 complaints were withdrawn once Patricia Zupraidis produced the missing signature."
     other = item.replace("Brofost", "Gorvan").replace("Dalmont", "Rekvik").replace("45", "61").replace("Patricia Zupraidis", "Samuel Klothu")
-    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "zebra quokka")], "item_id long, text string")
+    # further items of the pattern, which tell its words from its names
+    more = [(10 + i, item.replace("Brofost", f"Name{c}a").replace("Dalmont", f"Town{c}b").replace("45", str(70 + i)).replace("Patricia Zupraidis", f"First{c} Last{c}")) for i, c in enumerate("qwxyz")]
+    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "zebra quokka"), *more], "item_id long, text string")
     docs = spark.createDataFrame(
         [
             (1, f"Before. {item} After.", 1),
