@@ -512,8 +512,8 @@ def linked(mentions: DataFrame, entities: DataFrame, mention: str = "mention", c
     # names by their words: spellings that fold to the same words are compared once
     k = cut(names.mapInPandas(name_keys, "id string, name string, w string").distinct())
     qw, kw = q.select("w").distinct(), k.select("w").distinct()
-    # words that are recorded as they are need no neighbours
-    near = trie_join(qw.join(kw, "w", "left_anti"), kw).select("asked", "known")
+    # a word recorded as it is may still be another's misspelling: it has itself and its neighbours; equal ones need no search
+    near = trie_join(qw, kw).where("d > 0").select("asked", "known")
     near = near.unionByName(qw.join(kw, "w", "left_semi").select(F.col("w").alias("asked"), F.col("w").alias("known")))
     cand = q.join(near, q["w"] == near["asked"]).select("mention", "canonical", F.col("known").alias("w")).distinct()
     cand = cand.join(k, "w").select("mention", "canonical", "id", "name").distinct()

@@ -373,3 +373,12 @@ def test_variants(spark):
     assert got[2] == got[3] == "o0" and got[5] == "p0-victoria" and got[6] == "p0-alexander" and got[8] == "o7"
     assert not {1, 4, 7, 9, 10} & set(got)
     assert names.variants(m.limit(0), ents).count() == 0 and names.variants(m, ents.limit(0)).count() == 0
+
+
+def test_recorded_word_may_be_a_misspelling(spark):
+    """A typed surname that is recorded for another entity still finds its neighbours."""
+    firsts = ["alexander", "victoria", "robert", "miriam"]
+    rows = [(f"{f}-{w}", f"{f} {w}") for f in firsts for w in ("tilmontrek", "bolgardzan", "gubepilod")] + [("a", "alexander kosoumshulin"), ("v", "victoria kosoumshulen")]
+    ents = spark.createDataFrame([(i, n, [(None, "en")]) for i, n in rows], "id string, canonical_name string, aliases array<struct<text:string,lang:string>>")
+    m = spark.createDataFrame([(1, "Alexander Kosoumshulen", None), (2, "Victoria Kosoumshulin", None)], "seq long, mention string, canonical_candidate string")
+    assert {r["seq"]: r["id"] for r in names.variants(m, ents).collect()} == {1: "a", 2: "v"}
