@@ -15,10 +15,12 @@ Links, tags and markup count by their characters. A page is spam if stuffed wind
 make more than half of its characters. Unbroken strings without blanks are neither.
 
 Scale: one pass turns the texts into arrays of word hashes, written once; the counts are
-added up inside each task before they are shuffled. What every task gets is bounded: words
-in at least ``WORD_SHARE`` of the documents and pairs in at least ``PAIR_SHARE`` (a share has at
-most 1/share times the words of a document), at most ``MOST_WORDS`` and ``MOST_PAIRS`` of them; the
-others count as one rare word, and as pairs never met.
+added up inside each task before they are shuffled, and every count of two documents or more
+is kept in a table. What every task gets is bounded: words in at least ``WORD_SHARE`` of the
+documents and pairs in at least ``PAIR_SHARE`` (a share has at most 1/share times the words of a
+document), at most ``MOST_WORDS`` and ``MOST_PAIRS`` of them. The rarer pairs are joined to the
+documents that have them, so that no value depends on these limits. A pair that only one
+document has was never met.
 
 Defined results: null and blank texts score 0; texts of fewer than three words are judged by
 their links alone; repeated texts count as documents of their own; an empty table gives no rows.
@@ -34,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.lineage import cut
+from kgspark.lineage import cut, drop
 from kgspark.llm import textscan as ts
 
 WINDOW, INCOHERENT, REPEATED, SHARE = 12, -2.75, 0.34, 0.5
@@ -45,7 +47,8 @@ WORD_SHARE, PAIR_SHARE, MOST_WORDS, MOST_PAIRS = 2e-4, 1e-4, 1_000_000, 2_000_00
 UNBROKEN = 60
 
 LINK = re.compile(r"<[^<>]{1,400}>|\]\((?:https?://|www\.)[^)\s]*\)|https?://\S+|www\.\S+|#\w+")
-_RARE = np.uint64(1)
+#: More documents than there can be.
+_MANY = 1 << 62
 
 
 def _scan(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -150,8 +153,18 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, keys[i] == x
 
 
-def counts(scanned: DataFrame) -> tuple:
-    """(words, their documents, pairs, their documents): corpus counts of documents, all of them counted."""
+def _distinct(w: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of neighbours, their rows), each pair of a row once."""
+    same = row[1:] == row[:-1]
+    p, r = _pairs(w[:-1], w[1:])[same], row[1:][same]
+    order = np.lexsort((p, r))
+    p, r = p[order], r[order]
+    new = np.concatenate([[True], (p[1:] != p[:-1]) | (r[1:] != r[:-1])]) if len(p) else np.zeros(0, bool)
+    return p[new], r[new]
+
+
+def information(scanned: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], DataFrame | None]:
+    """((key, m, value) of every pair that two documents have, the frequent ones as sorted arrays, the others as a table or None)."""
     n_docs = scanned.count()
 
     def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,63 +174,104 @@ def counts(scanned: DataFrame) -> tuple:
             total.add(np.unique(_pairs(row, w)).astype(np.int64) & 0xFFFFFFFF)
         yield total.frame()
 
-    words, n = _collected(scanned.select("w").mapInPandas(word_counts, "key long, n long"), max(2, WORD_SHARE * n_docs), MOST_WORDS)
-    sent = scanned.sparkSession.sparkContext.broadcast(words)
+    counted = "key long, n long"
+    words = cut(scanned.select("w").mapInPandas(word_counts, counted).groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2"))
+    sent = scanned.sparkSession.sparkContext.broadcast(_collected(words, max(2, WORD_SHARE * n_docs), MOST_WORDS))
 
     def pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = _Sum()
         for pdf in batches:
-            w, row = _flat(pdf["w"])
-            i, known = _find(sent.value, w.astype(np.int64) & 0xFFFFFFFF)
-            i = np.where(known, i + 1, 0)
-            same = row[1:] == row[:-1]
-            p = _pairs(i[:-1], i[1:])[same]
-            order = np.lexsort((p, row[1:][same]))
-            p, r = p[order], row[1:][same][order]
-            total.add(p[np.concatenate([[True], (p[1:] != p[:-1]) | (r[1:] != r[:-1])])] if len(p) else p)
+            total.add(_distinct(*_flat(pdf["w"]))[0])
         yield total.frame()
 
-    pairs, m = _collected(scanned.select("w").mapInPandas(pair_counts, "key long, n long"), max(2, PAIR_SHARE * n_docs), MOST_PAIRS)
-    return words, n, pairs, m, n_docs
+    def with_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the least count among the frequent words, and the words whose counts have to be joined
+        words, n = sent.value
+        for pdf in batches:
+            key, least, rest = pdf["key"].to_numpy(np.int64), np.full(len(pdf), _MANY), []
+            for w in ((key >> 32) & 0xFFFFFFFF, key & 0xFFFFFFFF):
+                i, known = _find(words, w)
+                if len(n):
+                    least = np.where(known, np.minimum(least, n[i]), least)
+                rest.append(np.where(known, -1, w))
+            yield pd.DataFrame({"key": key, "m": pdf["n"], "least": least, "a": rest[0], "b": rest[1]})
+
+    pairs = scanned.select("w").mapInPandas(pair_counts, counted).groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2")
+    pairs = cut(pairs.mapInPandas(with_words, "key long, m long, least long, a long, b long"))
+    # only rare words are joined, so no word has many pairs
+    rare = pairs.where("a >= 0 or b >= 0").select("key", F.explode(F.array_distinct(F.array("a", "b"))).alias("w")).where("w >= 0")
+    rare = rare.join(words.select(F.col("key").alias("w"), "n"), "w").groupBy("key").agg(F.min("n").alias("n"))
+    whole = pairs.where("a < 0 and b < 0").select("key", "m", "least")
+    part = pairs.where("a >= 0 or b >= 0").join(rare, "key").select("key", "m", F.least("least", "n").alias("least"))
+    value = F.greatest(F.lit(NEVER), F.log((F.col("m") - 1) / F.col("least")))
+    valued = cut(whole.unionByName(part).select("key", "m", value.alias("value")))
+    drop(pairs, words)
+    top = valued.where(F.col("m") >= max(2, PAIR_SHARE * n_docs)).orderBy(F.desc("m"), "key").limit(MOST_PAIRS).toPandas()
+    rest = valued
+    if len(top):
+        m, key = int(top["m"].iloc[-1]), int(top["key"].iloc[-1])
+        rest = valued.where((F.col("m") < m) | ((F.col("m") == m) & (F.col("key") > key)))
+    order = np.argsort(top["key"].to_numpy(np.int64), kind="stable")
+    head = top["key"].to_numpy(np.int64)[order], top["value"].to_numpy(np.float64)[order]
+    return valued, head, None if rest.isEmpty() else rest
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, link_share, stuffed_share) of each document, by characters."""
-    scanned = cut(tokens(docs, key, text))
-    words, n, pairs, m, n_docs = counts(scanned)
-    rarest = max(2.0, WORD_SHARE * n_docs)
-    sent = docs.sparkSession.sparkContext.broadcast((words, np.concatenate([[rarest], n]), pairs, m))
+    scanned = cut(tokens(docs, key, text).withColumn("rid", F.monotonically_increasing_id()))
+    _, head, rest = information(scanned)
+    sent = docs.sparkSession.sparkContext.broadcast(head)
     kind = scanned.schema["k"].dataType.simpleString()
 
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            p, r = _distinct(*_flat(pdf["w"]))
+            far = ~_find(sent.value[0], p)[1]
+            yield pd.DataFrame({"rid": pdf["rid"].to_numpy()[r[far]], "key": p[far]})
+
+    if rest is None:
+        scanned = scanned.withColumns({"pk": F.array().cast("array<long>"), "pv": F.array().cast("array<double>")})
+    else:  # pairs too rare to be sent to every task; a pair is in few documents, a document has few of them
+        own = scanned.select("rid", "w").mapInPandas(others, "rid long, key long").join(rest, "key")
+        own = own.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("p"))
+        scanned = scanned.join(own.select("rid", F.col("p.key").alias("pk"), F.col("p.value").alias("pv")), "rid", "left")
+        scanned = scanned.withColumns({"pk": F.coalesce("pk", F.array().cast("array<long>")), "pv": F.coalesce("pv", F.array().cast("array<double>"))})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, n, pairs, m = sent.value
         for pdf in batches:
             w, row = _flat(pdf["w"])
             c, _ = _flat(pdf["c"])
-            stuffed = _stuffed(w, row, c, len(pdf), words, n, pairs, m)
+            value = np.full(max(len(w) - 1, 0), NEVER)
+            if len(value):
+                pair = _pairs(w[:-1], w[1:])
+                at, met = _find(sent.value[0], pair)
+                value[met] = sent.value[1][at[met]]
+                has = pdf["pk"].map(len).to_numpy()
+                if has.any():
+                    k = np.concatenate(pdf["pk"].tolist()).astype(np.int64)
+                    v = np.concatenate(pdf["pv"].tolist()).astype(np.float64)
+                    # a pair has one value in all documents that have it
+                    k, first = np.unique(k, return_index=True)
+                    at, met = _find(k, pair)
+                    value[met] = v[first][at[met]]
+            stuffed = _stuffed(w, row, c, len(pdf), value)
             total = np.maximum(pdf["total"].to_numpy(), 1)
             yield pd.DataFrame({"doc_id": pdf["k"], "link_share": pdf["links"] / total, "stuffed_share": stuffed / total})
 
-    return scanned.mapInPandas(run, f"doc_id {kind}, link_share double, stuffed_share double")
+    return scanned.select("k", "w", "c", "links", "total", "pk", "pv").mapInPandas(run, f"doc_id {kind}, link_share double, stuffed_share double")
 
 
-def _stuffed(w: np.ndarray, row: np.ndarray, c: np.ndarray, n_rows: int, words: np.ndarray, n: np.ndarray, pairs: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Characters of stuffed windows by row."""
+def _stuffed(w: np.ndarray, row: np.ndarray, c: np.ndarray, n_rows: int, value: np.ndarray) -> np.ndarray:
+    """Characters of stuffed windows by row; ``value``: information of each word with the next one."""
     out = np.zeros(n_rows)
     if len(w) < 2:
         return out
-    i, known = _find(words, w.astype(np.int64) & 0xFFFFFFFF)
-    i = np.where(known, i + 1, 0)
     size = np.bincount(row, minlength=n_rows)
     begin = np.concatenate([[0], np.cumsum(size)])
     inside = np.arange(len(w)) - begin[row]
     # information of each word with its follower; the last of a text has none
-    pair = _pairs(i[:-1], i[1:])
-    at, met = _find(pairs, pair)
     info = np.full(len(w), np.nan)
     follow = row[1:] == row[:-1]
-    value = np.full(len(pair), NEVER)
-    value[met] = np.maximum(NEVER, np.log(np.maximum(m[at[met]] - 1, 0.5) / np.minimum(n[i[:-1]], n[i[1:]])[met]))
     info[:-1] = np.where(follow, value, np.nan)
     # how often the document has the pair of hashes itself
     own = np.zeros(len(w))

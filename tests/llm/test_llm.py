@@ -221,6 +221,24 @@ def test_spam(spark):
     assert spam.spam(docs.limit(0)).count() == 0
 
 
+def test_spam_of_rare_words(spark, monkeypatch):
+    """Lists of words that few documents have are stuffed, whatever the limits of what is sent to the tasks."""
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(5))
+    rare = [name() for _ in range(600)]
+    prose = [". ".join(f"the {a} of the old town was seen near {b} by a man" for a, b in (rng.sample(("house", "garden", "river", "market"), 2) for _ in range(6))) for _ in range(200)]
+    # every rare word is in three lists, with other neighbours
+    lists = [" ".join(rng.sample(rare, 60)) for _ in range(30)]
+    # a rare collocation of two documents is met, not chance
+    twice = [" ".join(f"{a} {b} {c}" for a, b, c in zip(rare[500:520], rare[520:540], rare[540:560]))] * 3
+    docs = spark.createDataFrame(list(enumerate([*prose, *lists, *twice])), "doc_id long, text string")
+    exact = {r["doc_id"]: r["stuffed_share"] for r in spam.scores(docs).collect()}
+    monkeypatch.setattr(spam, "WORD_SHARE", 0.05)
+    monkeypatch.setattr(spam, "PAIR_SHARE", 0.05)
+    assert {r["doc_id"]: r["stuffed_share"] for r in spam.scores(docs).collect()} == exact
+    assert {r["doc_id"] for r in spam.spam(docs).collect()} == set(range(200, 230))
+
+
 # 5: language
 
 SAMPLES = {
