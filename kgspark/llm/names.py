@@ -10,6 +10,10 @@ typed one word by word in any order: equal, misspelt, abbreviated, initials, nic
 from names recorded beside each other), words run together or torn apart. A word that tells
 relatives apart must not be missing or added on either side, nor a first name be another.
 
+Names without such a word (all their words common or of up to three letters) have all their words
+together as key: a typed name has those of the words that each of its own can stand for, and
+must leave none out. A word of up to three letters has no misspellings.
+
 The name typed and the canonical form given beside it are two spellings of one entity: the
 first decides, the second where the first says nothing, and between equals.
 
@@ -29,6 +33,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -373,13 +378,14 @@ class Comparer:
         for x in b:
             if x in TELLING and x not in a and not any(w[0] == x[0] for w in a):
                 return 0.0
-        left, scores, key = list(b), [], False
+        left, scores, key, full, longer = list(b), [], False, False, False
         rest = []
         for w in a:  # equal words first, in any order
             if w in left:
                 left.remove(w)
                 scores.append(1.0)
                 key = key or w not in self.common and len(w) > 3
+                full = full or len(w) > 1
             else:
                 rest.append(w)
         i = 0
@@ -411,10 +417,12 @@ class Comparer:
             for x in what[0]:
                 left.remove(x)
                 key = key or x not in self.common and len(x) > 3 and (len(w) > 3 or what[1] == 2)
+                full = full or len(w) > 1 and len(x) > 1
+                longer = longer or what[1] == 1 and 1 < len(x) <= 3 and w.startswith(x) and len(what[0]) == 1 and best == 0.85
             scores.append(best)
             i += what[1]
-        if not key:
-            return 0.0
+        if not key and (left or not full or longer or len(b) == 1 < len(a) or any(x not in self.common and len(x) > 3 for x in b)):
+            return 0.0  # without a rare word, every word has to be there, and a short one is no beginning of a longer
         missing = 0.0
         for x in left:
             if x in TELLING or x not in self.common and len(x) > 1:
@@ -425,6 +433,72 @@ class Comparer:
         return max(0.0, sum(scores) / len(scores) - missing)
 
 
+class Nearby:
+    """The words of a bounded vocabulary for which a typed word can stand."""
+
+    def __init__(self, words: set[str], compare: Comparer):
+        self.words, self.compare, self.seen, self.longest = words, compare, {}, max(map(len, words), default=0)
+        self.starts, self.cuts, self.first, self.other = {}, {}, {}, {}
+        for v in words:
+            self.first.setdefault(v[0], []).append(v)
+            for n in range(3, len(v) - 1):
+                self.starts.setdefault(v[:n], []).append(v)
+            for x in self._cuts(v):
+                self.cuts.setdefault(x, []).append(v)
+        for a, b in (*compare.nicknames, *SHORT_FORMS.items()):
+            self.other.setdefault(a, set()).add(b)
+            self.other.setdefault(b, set()).add(a)
+
+    @staticmethod
+    def _cuts(w: str) -> set[str]:
+        """``w`` with up to two letters less: words two edits apart have one of these in common."""
+        out = {w}
+        if len(w) > 3:
+            one = {w[:i] + w[i + 1 :] for i in range(len(w))}
+            out |= one
+            if len(w) > 5:
+                out.update(x[:i] + x[i + 1 :] for x in one for i in range(len(x)))
+        return out
+
+    def of(self, w: str) -> set[str]:
+        """For a letter, itself; nothing ('') if the word may be left out."""
+        got = self.seen.get(w)
+        if got is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            got = self.seen[w] = self._of(w)
+        return got
+
+    def _of(self, w: str) -> set[str]:
+        if len(w) == 1:
+            return {w, ""}
+        near = set(self.other.get(w, ())) | set(self.starts.get(w, ())) | {w[:n] for n in range(3, len(w) - 1)} | {w}
+        if len(w) <= self.longest + 2:
+            for x in self._cuts(w):
+                near.update(self.cuts.get(x, ()))
+        if len(w) <= 5 or w in self.compare.common:  # letters of a word in order
+            near.update(self.first.get(w[0], ()))
+        got = {v for v in near if v in self.words and self.compare.word(w, v) > 0}
+        if w[0] in self.words:
+            got.add(w[0])
+        return got | {""} if self.compare.idle(w) else got
+
+    def signatures(self, ws: list[str]) -> set[str]:
+        choices = []
+        for w in sorted(ws, key=len, reverse=True):
+            choices.append(self.of(w))
+            if not choices[-1]:
+                return set()
+        return {" ".join(sorted(filter(None, c))) for c in product(*choices)}
+
+
+def signatures(ws: list[str]) -> set[str]:
+    """A recorded name's words in order of letters, as they are or as initials, not all of them (of names of over six words, at most two)."""
+    many = len(ws) - 1 if len(ws) <= 6 else 2
+    short = [i for n in range(many + 1) for i in combinations(range(len(ws)), n)]
+    return {" ".join(sorted(w[0] if j in i else w for j, w in enumerate(ws))) for i in short}
+
+
 def recorded(entities: DataFrame) -> DataFrame:
     """(id, name): every name recorded for an id, once."""
     every = F.concat(F.array("canonical_name"), F.coalesce(F.transform("aliases", lambda a: a.text), F.array().cast("array<string>")))
@@ -505,18 +579,38 @@ def linked(mentions: DataFrame, entities: DataFrame, mention: str = "mention", c
                 ws = telling_words(n)
                 keys = {w for w in ws if w not in common and len(w) > 3}
                 keys |= {a + b for a, b in zip(ws, ws[1:]) if a not in common and b not in common and 5 < len(a + b) <= TORN}
+                if ws and all(w in common or len(w) <= 3 for w in ws):  # no rare word: all words together, marked by a blank
+                    keys |= {" " + x for x in signatures(ws)}
+                    if len(ws) > 1:
+                        keys.add("".join(ws))
                 rows += [(i, " ".join(ws), k) for k in keys]
             yield pd.DataFrame(rows, columns=["id", "name", "w"])
 
     q = cut(asked.mapInPandas(keys_of, "mention string, canonical string, w string"))
     # names by their words: spellings that fold to the same words are compared once
     k = cut(names.mapInPandas(name_keys, "id string, name string, w string").distinct())
+    lone = k.where("w like ' %'").withColumn("w", F.substring("w", 2, 1 << 30))
+    # words of names without a rare one: common words, short forms and words of up to three letters, so their number is bounded
+    near_words = {r[0] for r in lone.select(F.explode(F.split("name", " "))).distinct().collect()}
+    k = k.where("w not like ' %'")
     qw, kw = q.select("w").distinct(), k.select("w").distinct()
     # a word recorded as it is may still be another's misspelling: it has itself and its neighbours; equal ones need no search
     near = trie_join(qw, kw).where("d > 0").select("asked", "known")
     near = near.unionByName(qw.join(kw, "w", "left_semi").select(F.col("w").alias("asked"), F.col("w").alias("known")))
     cand = q.join(near, q["w"] == near["asked"]).select("mention", "canonical", F.col("known").alias("w")).distinct()
-    cand = cand.join(k, "w").select("mention", "canonical", "id", "name").distinct()
+    cand = cand.join(k, "w").select("mention", "canonical", "id", "name")
+    if near_words:
+        few = spark.sparkContext.broadcast(near_words)
+
+        def whole_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            near = Nearby(few.value, Comparer(*sent.value))
+            for pdf in batches:
+                rows = [(m, c, x) for m, c in zip(pdf["mention"], pdf["canonical"]) for n in {m, c} if n for x in near.signatures(telling_words(n)) if x]
+                yield pd.DataFrame(rows, columns=["mention", "canonical", "w"])
+
+        whole = asked.mapInPandas(whole_names, "mention string, canonical string, w string")
+        cand = cand.unionByName(whole.join(lone, "w").select("mention", "canonical", "id", "name"))
+    cand = cand.distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compare = Comparer(*sent.value)

@@ -400,3 +400,27 @@ def test_recorded_word_may_be_a_misspelling(spark):
     ents = spark.createDataFrame([(i, n, [(None, "en")]) for i, n in rows], "id string, canonical_name string, aliases array<struct<text:string,lang:string>>")
     m = spark.createDataFrame([(1, "Alexander Kosoumshulen", None), (2, "Victoria Kosoumshulin", None)], "seq long, mention string, canonical_candidate string")
     assert {r["seq"]: r["id"] for r in names.variants(m, ents).collect()} == {1: "a", 2: "v"}
+
+
+def test_names_without_a_rare_word(spark):
+    """Names of common and short words only are linked by all their words."""
+    names_ = [f"{f} {w}" for f in ("dana", "robert", "miriam", "tal") for w in ("lee", "cohen", "oz", "williams")]
+    ents = spark.createDataFrame([(n, n, [(None, "en")]) for n in names_], "id string, canonical_name string, aliases array<struct<text:string,lang:string>>")
+    ask = {
+        "Dnaa Lee": "dana lee",
+        "Lee, Dana": "dana lee",
+        "Dana Cohne": "dana cohen",
+        "Miriam Wiliasm": "miriam williams",
+        "Tal A. Oz": "tal oz",
+        "Robt. Cohen": "robert cohen",
+        "D. Cohen": "dana cohen",
+        "danalee": "dana lee",
+        "Dana": None,
+        "D. L.": None,
+        "Ruth Cohen": None,
+        "Dana Zebrakowski": None,
+        "Dana Leeman": None,
+    }
+    m = spark.createDataFrame([(i, a, None) for i, a in enumerate(ask)], "seq long, mention string, canonical_candidate string")
+    got = {r["seq"]: r["id"] for r in names.variants(m, ents).collect()}
+    assert {a: got.get(i) for i, a in enumerate(ask)} == ask
