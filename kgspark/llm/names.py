@@ -46,10 +46,9 @@ from kgspark.llm.fusion import is_value
 #: Errors of the automaton, share of the entities from which a word is common, shards, and least score of a link.
 EDITS, COMMON, SHARDS, LEAST = 2, 0.002, 48, 0.6
 #: Letters of a word from which the automaton takes EDITS errors, and one less below.
-LONG = 7
-LEAST_COMMON, LONGEST, MOST_NICKNAMES, OFTEN = 4, 28, 100_000, 1e-5
-#: Letters of two words taken for one that was torn apart.
-TORN = 17
+LONG = 6
+#: ``LONGEST``: letters of a word that fit the automata's 64 bits; longer ones are compared one by one.
+LEAST_COMMON, LONGEST, MOST_NICKNAMES, OFTEN = 4, 60, 100_000, 1e-5
 #: Words that say nothing about which entity is meant, and words that tell relatives apart.
 IDLE = frozenset("the our of and mr mrs ms miss dr prof nurse sir ltd inc llc group co corp".split())
 TELLING = frozenset("north south east west central upper lower saint new old".split())
@@ -165,19 +164,19 @@ def walk(trie: Trie, root: np.ndarray, word: np.ndarray, own: np.ndarray, letter
     """(asked, known, errors): Levenshtein automata of many words walk the trie together, one level at a time.
 
     An automaton is a set of states for each number of errors, as bits; it may make at most one error in
-    the first half of its word, or its first four letters. Neighbours changing places are one error: ``swap`` holds the states that
+    the first half of its word. Neighbours changing places are one error: ``swap`` holds the states that
     have read the second of two letters and wait for the first. ``masks``: (words x letters) positions of
     each letter. ``own``: whether the root is the key of the word's first ``letters`` as they are; below other
     keys, words that begin with those letters are left to that one.
     """
-    one, two = np.uint32(1), np.uint32(2)
-    n = size.astype(np.uint32)
+    one, two = np.uint64(1), np.uint64(2)
+    n = size.astype(np.uint64)
     full = (one << (n + one)) - one
-    low = ~((one << np.maximum(n // two, np.minimum(n, np.uint32(4)))) - one)
-    most = [np.where(edits >= i, full if i < 2 else full & low, np.uint32(0)).astype(np.uint32) for i in range(EDITS + 1)]
+    low = ~((one << (n // two)) - one)
+    most = [np.where(edits >= i, full if i < 2 else full & low, np.uint64(0)).astype(np.uint64) for i in range(EDITS + 1)]
     q, node = word, root
-    state = [(((one << np.uint32(i + 1)) - one) & most[i])[q] for i in range(EDITS + 1)]
-    swap = [np.zeros(len(q), np.uint32) for _ in range(EDITS + 1)]
+    state = [(((one << np.uint64(i + 1)) - one) & most[i])[q] for i in range(EDITS + 1)]
+    swap = [np.zeros(len(q), np.uint64) for _ in range(EDITS + 1)]
     out, depth = [], 0
     while len(q):
         many = trie.many[node]
@@ -191,12 +190,12 @@ def walk(trie: Trie, root: np.ndarray, word: np.ndarray, own: np.ndarray, letter
         rep, node, q = rep[fit], node[fit], z[fit]
         depth += 1
         m = masks[q, trie.letter[node]]
-        new, pend = [((state[0][rep] & m) << one) & most[0][q]], [np.zeros(len(q), np.uint32)]
+        new, pend = [((state[0][rep] & m) << one) & most[0][q]], [np.zeros(len(q), np.uint64)]
         for i in range(1, EDITS + 1):
             s, before, cap = state[i][rep], state[i - 1][rep], most[i][q]
             t = (s & m) << one | before | before << one | new[i - 1] << one | (swap[i][rep] & m) << two
             new.append(t & cap)
-            pend.append(np.where(cap > 0, before & (m >> one), np.uint32(0)))
+            pend.append(np.where(cap > 0, before & (m >> one), np.uint64(0)))
         alive = new[0] | pend[1]
         for t in (*new[1:], *pend[2:]):
             alive = alive | t
@@ -241,8 +240,9 @@ def shard_keys(w: str, asks: bool) -> set[str]:
 def search(asked: list[tuple[str, str]], known: list[tuple[str, str]]) -> set[tuple[str, str, int]]:
     """(asked word, known word, distance) of the (key, word) pairs that share a key and are near each other."""
     keys = {k: i for i, k in enumerate(sorted({k for k, _ in known}))}
-    asked = [(k, w) for k, w in asked if k in keys and 3 < len(w) <= LONGEST]
-    out: set[tuple[str, str, int]] = set()
+    asked = [(k, w) for k, w in asked if k in keys and len(w) > 3]
+    out = _search_long([x for x in asked if len(x[1]) > LONGEST], known)
+    asked = [x for x in asked if len(x[1]) <= LONGEST]
     if not asked:
         return out
     turn = lambda k, w: w if k[0] == "<" else w[::-1]
@@ -253,10 +253,10 @@ def search(asked: list[tuple[str, str]], known: list[tuple[str, str]]) -> set[tu
         part = asked[lo : lo + 4000]
         points, size = _letters([w for _, w in part], np.array([k[0] == ">" for k, _ in part]))
         at = np.minimum(np.searchsorted(signs, points), len(signs) - 1)
-        masks, rows = np.zeros((len(part), len(signs)), np.uint32), np.arange(len(part))
+        masks, rows = np.zeros((len(part), len(signs)), np.uint64), np.arange(len(part))
         for j in range(points.shape[1]):
             ok = (points[:, j] > 0) & (signs[at[:, j]] == points[:, j])  # letters that no known word has match nothing
-            masks[rows[ok], at[ok, j]] |= np.uint32(1 << j)
+            masks[rows[ok], at[ok, j]] |= np.uint64(1 << j)
         edits = np.where(size >= LONG, EDITS, EDITS - 1)
         own = np.array([turn(k, w).startswith(k[2:]) and len(k) == int(k[1]) + 2 for k, w in part])
         q, k, e = walk(tree, np.array([keys[x] for x, _ in part]), rows, own, np.array([int(x[1]) for x, _ in part]), masks, size, edits)
@@ -264,6 +264,16 @@ def search(asked: list[tuple[str, str]], known: list[tuple[str, str]]) -> set[tu
     return out
 
 
+def _search_long(asked: list[tuple[str, str]], known: list[tuple[str, str]]) -> set[tuple[str, str, int]]:
+    """``search`` for words of more letters than an automaton has bits."""
+    by: dict[str, list[str]] = {}
+    for k, w in known if asked else ():
+        if len(w) >= LONGEST + 1 - EDITS:
+            by.setdefault(k, []).append(w)
+    near = {(w, x) for k, w in asked for x in by.get(k, ()) if abs(len(w) - len(x)) <= EDITS}
+    return {(w, x, d) for w, x in near if (d := swap_distance(w, x)) <= EDITS}
+
+
 def _letters(words: list[str], backwards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points (n x longest), lengths), of the words marked in reverse."""
     x = np.array(words)
@@ -398,13 +408,13 @@ class Comparer:
                     best, what = s, ((x,), 1)
             if i + 1 < len(rest) and best < 0.9:  # one word torn apart
                 for x in left:
-                    if len(x) > 5 and abs(len(w) + len(rest[i + 1]) - len(x)) < 2 and x[:2] == w[:2]:
+                    if len(x) > 5 and abs(len(w) + len(rest[i + 1]) - len(x)) < 2:
                         s = 1.0 if w + rest[i + 1] == x else self._damaged(w + rest[i + 1], x, 1) if len(w) > 1 else 0.0
                         if 0.95 * s > best:
                             best, what = 0.95 * s, ((x,), 2)
             if best < 0.9:  # two words run together
                 for x, y in zip(b, b[1:]):
-                    if abs(len(x) + len(y) - len(w)) < 3 and x[0] == w[0] and x in left and y in left and x != y:
+                    if abs(len(x) + len(y) - len(w)) < 3 and x in left and y in left and x != y:
                         s = 1.0 if w == x + y else self._damaged(w, x + y, 2)
                         if 0.95 * s > best:
                             best, what = 0.95 * s, ((x, y), 1)
@@ -567,7 +577,7 @@ def linked(mentions: DataFrame, entities: DataFrame, mention: str = "mention", c
                 for n in {m, c}:
                     ws = telling_words(n)
                     keys |= {w for w in ws if w not in common and len(w) > 3}
-                    keys |= {a + b for a, b in zip(ws, ws[1:]) if a not in common and b not in common and 5 < len(a + b) <= TORN}
+                    keys |= {a + b for a, b in zip(ws, ws[1:]) if a not in common and b not in common and len(a + b) > 5}
                 rows += [(m, c, k) for k in keys]
             yield pd.DataFrame(rows, columns=["mention", "canonical", "w"])
 
@@ -578,7 +588,7 @@ def linked(mentions: DataFrame, entities: DataFrame, mention: str = "mention", c
             for i, n in zip(pdf["id"], pdf["name"]):
                 ws = telling_words(n)
                 keys = {w for w in ws if w not in common and len(w) > 3}
-                keys |= {a + b for a, b in zip(ws, ws[1:]) if a not in common and b not in common and 5 < len(a + b) <= TORN}
+                keys |= {a + b for a, b in zip(ws, ws[1:]) if a not in common and b not in common and len(a + b) > 5}
                 if ws and all(w in common or len(w) <= 3 for w in ws):  # no rare word: all words together, marked by a blank
                     keys |= {" " + x for x in signatures(ws)}
                     if len(ws) > 1:

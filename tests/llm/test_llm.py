@@ -424,3 +424,29 @@ def test_names_without_a_rare_word(spark):
     m = spark.createDataFrame([(i, a, None) for i, a in enumerate(ask)], "seq long, mention string, canonical_candidate string")
     got = {r["seq"]: r["id"] for r in names.variants(m, ents).collect()}
     assert {a: got.get(i) for i, a in enumerate(ask)} == ask
+
+
+@pytest.mark.parametrize("size", [4, 5, 6, 7, 8, 9, 12, 27, 29, 33, 58, 60, 61, 64, 90])
+def test_trie_search_finds_two_errors(size):
+    """One error in words of 4 and 5 letters, two from 6 on, in words of any length and at every place."""
+    rng = random.Random(size)
+    known = list({"".join(rng.choice("abcdefghijkl") for _ in range(size)) for _ in range(6)})
+    asked = {w: w for w in known}
+    places = range(size) if size < 13 else sorted(rng.sample(range(size), 6))
+    for w in known[:3]:
+        for i in places:
+            one = {w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]}
+            asked |= dict.fromkeys(one, w)
+            for x in one:
+                for j in places:
+                    asked |= dict.fromkeys({x[:j] + x[j + 1 :], x[:j] + "y" + x[j:], x[:j] + "y" + x[j + 1 :]}, w)
+    got = {(a, b) for a, b, _ in names.search([(k, w) for w in asked for k in names.shard_keys(w, True)], [(k, w) for w in known for k in names.shard_keys(w, False)])}
+    want = {(a, b) for a in asked if len(a) > 3 for b in known if abs(len(a) - len(b)) < 3 and names.swap_distance(a, b) <= (2 if len(a) >= 6 else 1)}
+    assert got == want
+
+
+def test_early_errors_of_torn_words():
+    compare = names.Comparer({"clinic"}, set())
+    assert compare.names(["drkel", "mas", "clinic"], ["drakelmas", "clinic"]) > 0.6
+    assert compare.names(["rdakel", "mas", "clinic"], ["drakelmas", "clinic"]) > 0.6
+    assert compare.names(["rdakelmas", "clinic"], ["drakel", "mas", "clinic"]) > 0.6
