@@ -1,11 +1,11 @@
 """Problem 8: passages of evaluation items inside corpus documents.
 
-Method: the items' normalised five-word windows that hold at least one telling word (a figure,
-or a word of few items: names above all) make a hash set, which every task gets. Documents
-are scanned once, window by window, without shuffle; only a document with a hit is verified
-against the items hit: its words around the hits are aligned with the item's words in order.
+Method: all normalised five-word windows of the items make a hash set, which every task gets.
+Documents are scanned once, window by window, without shuffle; only a document with a hit is
+verified against the items hit: its words around the hits are aligned with the item's words in order.
 
-An item's sentence (or the part of it that is there) is held if most of its telling words are matched, so that a
+Telling words are figures and words of few items (names above all), counted over the different
+texts of all items. An item's sentence (or the part of it that is there) is held if most of its telling words are matched, so that a
 sentence of the same pattern about other names or figures is none; a telling word may be
 misspelt. The document holds the item if the matched words of held sentences are at least
 half of the item's words, all in one passage. ``remove`` cuts the spans found out of the text.
@@ -21,7 +21,6 @@ document row is reported once per row; empty tables give no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -44,10 +43,11 @@ END = re.compile(r"[.!?؟]+(?:\s|$)|[\r\n]+")
 
 
 class Index:
-    """The telling windows of a block of items, and what verification needs."""
+    """The windows of a block of items, and what verification needs; ``shared``: words of too many items to tell them apart."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], shared: set[str]):
         self.ids, self.words, self.sentence, self.ends = [], [], [], []
+        at: dict[tuple, int] = {}
         for i, text in items:
             words, sent, ends = [], [], {}
             for k, part in enumerate(END.split(text or "")):
@@ -55,22 +55,26 @@ class Index:
                 ends[k] = (len(words), len(words) + len(w))
                 words += w
                 sent += [k] * len(w)
-            if words:
-                self.ids.append(i)
+            if not words:
+                continue
+            same = (tuple(words), tuple(sent))
+            if same in at:  # equal items are verified once
+                self.ids[at[same]].append(i)
+            else:
+                at[same] = len(self.ids)
+                self.ids.append([i])
                 self.words.append(words)
                 self.sentence.append(sent)
                 self.ends.append(ends)
-        df = Counter(w for words in self.words for w in set(words))
-        few = max(FEW, int(FEW_SHARE * len(self.ids)))
-        self.telling = {w for w, n in df.items() if n <= few or any(c.isdigit() for c in w)}
-        self.vocab = {w: k + 1 for k, w in enumerate(sorted(df))}
+        own = {w for words in self.words for w in words}
+        self.telling = {w for w in own if w not in shared or any(c.isdigit() for c in w)}
+        self.vocab = {w: k + 1 for k, w in enumerate(sorted(own))}
         self.windows: dict[int, list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
             n = min(WINDOW, len(words))
             for o in range(len(words) - n + 1):
                 w = words[o : o + n]
-                if n < WINDOW or any(x in self.telling for x in w):
-                    self.windows.setdefault(self._hash(np.array([[self.vocab[x] for x in w] + [0] * (WINDOW - n)])).item(), []).append((k, o))
+                self.windows.setdefault(self._hash(np.array([[self.vocab[x] for x in w] + [0] * (WINDOW - n)])).item(), []).append((k, o))
         self.short = min((len(w) for w in self.words), default=WINDOW) < WINDOW
         self.keys = np.array(sorted(self.windows), dtype=np.uint64)
 
@@ -154,6 +158,9 @@ class Index:
                 if sum(w for w, m in told if m) >= TOLD * sum(w for w, _ in told):
                     held.append(s)
                     size += j - i
+            # words of the pattern alone don't tell which item it is, if the item has words that do
+            if any(w in self.telling for w in item) and not any(item[i] in self.telling and sent[i] in held for i in match):
+                continue
             if size / n > best[0]:
                 where = [match[i] for i in match if sent[i] in held]
                 best = (size / n, lo + min(where), lo + max(where) + 1)
@@ -178,14 +185,29 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _shared(items: DataFrame) -> set[str]:
+    """Words of more than ``FEW`` different item texts and ``FEW_SHARE`` of them: at most words-per-item/FEW_SHARE."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"t": [" ".join(WORD.findall(t.lower())) for t in pdf["t"]]})
+
+    texts = items.select("t").mapInPandas(run, "t string").where("t != ''").distinct()
+    few = max(FEW, int(FEW_SHARE * texts.count()))
+    words = texts.select(F.explode(F.array_distinct(F.split("t", " "))).alias("w")).groupBy("w").count()
+    return {r[0] for r in words.where(F.col("count") > few).select("w").collect()}
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share, begin, end): items held and the span of characters that holds them."""
     x = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
     kind = x.schema["k"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, share double, begin int, end int"
     out = None
-    for block in _blocks(items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0)):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(block))
+    items = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0)
+    shared = _shared(items)
+    for block in _blocks(items):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(block, shared))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = sent.value
@@ -210,7 +232,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                         got, a, b = index.verify(words, item, found)
                         if got >= share:
                             spans = spans or [m.span() for m in WORD.finditer(t.lower())]
-                            rows.append((k, index.ids[item], got, spans[a][0], spans[b - 1][1]))
+                            rows += [(k, i, got, spans[a][0], spans[b - 1][1]) for i in index.ids[item]]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "begin", "end"])
 
         found = x.mapInPandas(run, schema)

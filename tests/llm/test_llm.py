@@ -205,6 +205,18 @@ def test_leaks(spark):
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_of_repeated_items_and_shared_words(spark):
+    """Rows of equal items don't make their words common, and items of shared words only have windows too."""
+    text = "neither the clinic nor its landlord wanted to insure the kiosk against frost before the winter came"
+    words = "one two six ten red blue tall short warm cold fast slow old new".split()
+    rng = random.Random(3)
+    plain = [" ".join(rng.sample(words, 14)) for _ in range(8)]
+    items = spark.createDataFrame([*((i, text) for i in range(6)), *((10 + i, t) for i, t in enumerate(plain))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"Before. {text} After."), (2, f"Then {plain[3]} and more."), (3, "Nothing of the kind was ever said here by any of them.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()}
+    assert got == {(1, i) for i in range(6)} | {(2, 13)}
+
+
 # 10: spam
 
 
