@@ -6,9 +6,9 @@ of its budget is fitted by a bounded-knapsack dynamic programme over the lengths
 tokens taken come as close below the budget as the lengths allow. Which documents of a length
 are taken is decided by a seeded hash.
 
-The dynamic programme runs on the last ``WINDOW`` tokens only: before it, every length gives the same
+The dynamic programme runs on the last ``WINDOW`` tokens (or ``LONGEST`` times the longest document) only: before it, every length gives the same
 proportion of its documents, whose number needs no search; the table of the programme is a
-bitset of ``WINDOW`` bits per length, whatever the corpus.
+bitset and the step of each sum, whatever the corpus. Beyond it the fit is not proven to be exact.
 
 Scale: documents are tokenised in one pass without shuffle; what is shuffled is one small row
 per document. The programme of a source reads one row per distinct length. A length that a
@@ -35,6 +35,8 @@ from kgspark.lineage import cut
 
 #: Tokens left to the dynamic programme, ranges of the hash, seed, and the tokenizer's vocabulary (a file of token ranks).
 WINDOW, RANGES, SEED, VOCABULARY = 1 << 15, 64, 42, "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The programme sees at least so many times the longest document.
+LONGEST = 8
 #: Fixed value: the split pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -67,9 +69,10 @@ def token_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each length to take, so that their tokens come as close to ``budget`` from below as possible.
 
-    Exact if the budget is at most ``window``; beyond it the proportional part is fixed first.
+    Exact if the budget is at most ``window``, or ``LONGEST`` times the longest document; beyond it the proportional part is fixed first.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
+    window = max(window, LONGEST * int(lengths.max(initial=0)))
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -82,22 +85,27 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
             left -= more * int(lengths[k])
     left = budget - int((lengths * take).sum())
     mask, reached, steps = (1 << (left + 1)) - 1, 1, []
+    by = np.zeros(left + 1, np.int32)  # the step that first reached each sum
     for k in range(len(lengths)):
         n, size = int(min(counts[k] - take[k], left // max(1, lengths[k]))), int(lengths[k])
         part = 1
         while n > 0:
             part = min(part, n)
-            steps.append((k, part, reached))
-            reached |= (reached << (part * size)) & mask
+            new = (reached << (part * size)) & mask & ~reached
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little")
+                by[np.flatnonzero(bits)] = len(steps)
+            steps.append((k, part))
+            reached |= new
             n -= part
             part *= 2
-        if reached == mask:
+        if reached >> left & 1:
             break
     at = reached.bit_length() - 1
-    for k, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[k] += part
-            at -= part * int(lengths[k])
+    while at:
+        k, part = steps[by[at]]
+        take[k] += part
+        at -= part * int(lengths[k])
     return take
 
 

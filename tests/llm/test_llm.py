@@ -159,6 +159,11 @@ def test_fit_large_budget():
     assert (take <= c).all() and 0 <= budget - int((n * take).sum()) <= 2
 
 
+def test_fit_of_long_documents():
+    """Sources of few, very long documents meet the budgets they can."""
+    assert mixing.fit(np.array([45_000, 60_000]), np.array([2, 1]), 90_000).tolist() == [2, 0]
+
+
 def test_mix(spark):
     docs = [(i, "word " * (5 + i % 7), "big") for i in range(200)] + [(1000 + i, "tiny text here", "small") for i in range(5)] + [(2000, None, "big"), (2001, "no source", None), (2002, "other", "unlisted")]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
