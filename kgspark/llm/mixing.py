@@ -124,21 +124,27 @@ def plan(lengths: DataFrame, sources: DataFrame, window: int = WINDOW) -> DataFr
         size, budget = int((n * docs).sum()), int(share * total)
         passes = min(most, budget // size) if size else 0
         take = fit(n, docs, budget - passes * size, window) if passes < most and len(n) else np.zeros(len(n), np.int64)
-        if not len(n):
+        if not len(n):  # no documents: every copy there may be is used
             n = docs = take = np.zeros(1, np.int64)
+            passes = most
         return pd.DataFrame({"source": pdf["source"].iloc[0], "n": n, "docs": docs, "take": take, "passes": passes, "most": most, "share": share, "budget": budget, "total": total})
 
     return hist.groupBy("source").applyInPandas(one, "source string, n long, docs long, take long, passes long, most long, share double, budget long, total long")
 
 
 def shares(planned: DataFrame) -> DataFrame:
-    """(source, target_share, actual_share, tokens, budget, below): what the mix holds; below marks sources that end before their budget."""
+    """(source, target_share, actual_share, tokens, budget, missed, below): what the mix holds.
+
+    ``below`` marks sources whose fitted mix uses every document as often as allowed and yet ends before the
+    budget; ``missed`` is how many tokens the fit of the others leaves open.
+    """
     tokens = F.sum(F.col("n") * (F.col("docs") * F.col("passes") + F.col("take")))
     x = planned.groupBy("source").agg(
-        F.max("share").alias("target_share"), tokens.alias("tokens"), F.max("budget").alias("budget"), F.sum(F.col("n") * F.col("docs")).alias("size"), F.max("most").alias("most"), F.max("total").alias("total")
+        F.max("share").alias("target_share"), tokens.alias("tokens"), F.max("budget").alias("budget"), F.max("passes").alias("passes"), F.max("most").alias("most"), F.max("total").alias("total")
     )
+    below = (F.col("tokens") < F.col("budget")) & (F.col("passes") >= F.col("most"))
     actual = F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(F.lit(0.0))
-    return x.select("source", "target_share", actual.alias("actual_share"), "tokens", "budget", (F.col("size") * F.col("most") < F.col("budget")).alias("below"))
+    return x.select("source", "target_share", actual.alias("actual_share"), "tokens", "budget", F.when(below, 0).otherwise(F.col("budget") - F.col("tokens")).alias("missed"), below.alias("below"))
 
 
 def mix(lengths: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
