@@ -1,18 +1,24 @@
 """Problem 6: mapping freely typed values to the entries of a reference list.
 
 Method: BK-trees under Levenshtein distance, which is a true metric, so the triangle inequality
-prunes branches without losing an entry within the threshold. A value is split into words
-(case, underscores, hyphens, quotes and run-together capitals don't matter) and its words are
-reduced to stems. Each word the reference doesn't have is looked up in a BK-tree over the words of
-the reference entries; entries are then compared word by word in any order, rare words
-weighing more, with filler words of little weight. What that leaves open is looked up as a
-whole in a BK-tree over the entries written without blanks. An entry is known by its id, its
-aliases and its description; the last need not be covered, only to cover the value.
+prunes branches without losing an entry within the threshold. Every candidate comes from a tree:
+
+1. The value as a whole (words reduced to stems, in their order and in alphabetical order, with
+   and without fillers, written without blanks) is looked up in a tree over the whole forms of
+   the entries' ids and aliases. Distance 0 decides at once.
+2. Each of its words is looked up in a tree over the forms of the reference's words (ids,
+   aliases and descriptions), a word as it is being distance 0. Entries with such words are ranked
+   word by word in any order, rare words weighing more, with filler words of little weight; a
+   description need not be covered, only cover the value.
+
+Where the words leave it open, the nearest whole form within the threshold decides (blanks lost
+or moved, several damaged words). Two letters changing places are looked up as such, beside the trees.
 
 The result is a pure function of the value's words, so every different sequence of words is worked
 out once and joined back; a value that a third of all rows have costs no more than another. The
-reference is a list of fixed size, sent to every task up to ``MAX_ENTRIES`` entries; with
-``shards`` it is searched in parts, and the shards' winners are merged by their score.
+entries are sent to the tasks in shards of at most ``MAX_ENTRIES``, each with trees of its own;
+weights come from the words of the whole list (at most ``MAX_WORDS`` of them, or it is
+refused), so scores of all shards are comparable, and the merged winners are those of one shard.
 
 Defined results: null and blank values are left out; values like nothing in the list are
 ``UNMATCHED``; of equally good entries the one first in the alphabet wins; an empty reference
@@ -30,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNMATCHED, MAX_ENTRIES, REMEMBERED = "UNMATCHED", 100_000, 500_000
+UNMATCHED, MAX_ENTRIES, MAX_WORDS, REMEMBERED = "UNMATCHED", 100_000, 1_000_000, 500_000
 #: Least scores of a match by id or alias, by description, and by the whole phrase.
 BY_NAME, BY_TEXT = 0.66, 0.6
 #: Least part of a value that two or more of its words must make up if they are all that it shares with an entry.
@@ -131,59 +137,49 @@ class BKTree:
         return sorted(out)
 
 
-class Reference:
-    def __init__(self, entries: list[tuple[str, str, list[str]]]):
-        """(id, description, aliases) of each entry."""
-        self.names: list[tuple[str, list[str], bool]] = []
-        for i, text, aliases in sorted(entries, key=lambda e: e[0]):
-            for name in [i, *(a for a in aliases or [] if a)]:
-                self.names.append((i, [stem(w) for w in words(name)], True))
-            if text:
-                self.names.append((i, [stem(w) for w in words(text)], False))
-        df = Counter(w for _, ws, _ in self.names for w in set(ws))
-        self.most = math.log(1 + len(self.names))
-        light = {stem(w) for w in FILLERS} | FILLERS
-        self.weight = {w: LIGHT if w in light else math.log(1 + len(self.names) / n) for w, n in df.items()}
-        self.light = light
-        self.by_word: dict[str, list[int]] = defaultdict(list)
-        for k, (_, ws, _) in enumerate(self.names):
-            for w in set(ws):
-                self.by_word[w].append(k)
-        self.total = [sum(self.weight[w] for w in ws) for _, ws, _ in self.names]
+class Vocabulary:
+    """The words of the whole reference: forms, numbers of names that have them, and weights."""
+
+    def __init__(self, typed: list[str], df: dict[str, int], n_names: int):
+        self.df, self.light = df, {stem(w) for w in FILLERS} | FILLERS
+        self.most = math.log(1 + n_names)
+        self.weight = {w: LIGHT if w in self.light else math.log(1 + n_names / n) for w, n in df.items()}
         # typed forms of the words, so that a damaged letter is looked for where it was typed
-        self.form: dict[str, str] = {}
-        for i, text, aliases in sorted(entries, key=lambda e: e[0]):
-            for w in words(" ".join([i, text or "", *(a for a in aliases or [] if a)])):
-                for f in (w, *(stem(w) + end for end in ("", "s", "ing", "ed", "er"))):
-                    if len(f) > 3 and w not in light:
-                        self.form.setdefault(f, stem(w))
+        self.form: dict[str, str] = {w: w for w in sorted(df)}
+        for w in sorted(typed):
+            for f in (w, *(stem(w) + end for end in ("", "s", "ing", "ed", "er"))):
+                if len(f) > 3 and w not in self.light:
+                    self.form.setdefault(f, stem(w))
         self.tree = BKTree(iter(sorted(self.form)))
-        self.whole: dict[str, str] = {}
-        for i, ws, name in self.names:
-            if name:
-                self.whole.setdefault("".join(ws), i)
-                self.whole.setdefault("".join(sorted(ws)), i)
-        self.exact = dict(self.whole)
-        for i, text, aliases in sorted(entries, key=lambda e: e[0]):
-            for name in [i, *(a for a in aliases or [] if a)]:
-                self.whole.setdefault("".join(words(name)), i)
-        self.phrases = BKTree(iter(sorted(self.whole)))
         self.near: dict[str, list[tuple[float, str]]] = {}
         self.weights: dict[str, float] = {}
 
+    @staticmethod
+    def of(entries: list[tuple[str, str, list[str]]]) -> tuple[set[str], Counter, int]:
+        """(typed words, number of names that have each stem, number of names)."""
+        typed, df, n = set(), Counter(), 0
+        for i, text, aliases in entries:
+            for name in [i, *(a for a in aliases or [] if a), *([text] if text else [])]:
+                ws = words(name)
+                typed.update(ws)
+                df.update({stem(w) for w in ws})
+                n += 1
+        return typed, df, n
+
     def alike(self, w: str) -> list[tuple[float, str]]:
         """(similarity, word of the reference) of the words within reach."""
-        if stem(w) in self.weight:
-            return [(1.0, stem(w))]
         got = self.near.get(w)
         if got is None:
-            best: dict[str, float] = {}
-            found = [(1, x) for x in swaps(w) if x in self.form]
-            # two edits are only believed in long words
-            found += self.tree.within(w, 1 if len(w) < 9 else 2) if len(w) > 3 else []
-            for d, x in found:
-                best[self.form[x]] = max(best.get(self.form[x], 0), 1 - 0.8 * d / max(4, len(w)))
-            got = [(v, x) for x, v in best.items()]
+            got = [(1.0, self.form[x]) for _, x in self.tree.within(stem(w), 0) if x in self.weight]
+            if not got:
+                best: dict[str, float] = {}
+                found = [(1, x) for x in swaps(w) if x in self.form and len(x) > 3]
+                # two edits are only believed in long words
+                found += [(d, x) for d, x in self.tree.within(w, 1 if len(w) < 9 else 2) if len(x) > 3] if len(w) > 3 else []
+                for d, x in found:
+                    if self.form[x] not in self.light:
+                        best[self.form[x]] = max(best.get(self.form[x], 0), 1 - 0.8 * d / max(4, len(w)))
+                got = [(v, x) for x, v in best.items()]
             if len(self.near) > REMEMBERED:
                 self.near.clear()
             self.near[w] = got
@@ -199,61 +195,102 @@ class Reference:
             got = self.weights[w] = LIGHT if filler else SHORT * self.most if len(w) <= 3 else self.most
         return got
 
+
+class Reference:
+    """A shard of the entries, (id, description, aliases) each, under the vocabulary of the whole list."""
+
+    def __init__(self, entries: list[tuple[str, str, list[str]]], vocabulary: Vocabulary | None = None):
+        self.vocabulary = v = vocabulary or Vocabulary(*Vocabulary.of(entries))
+        self.names: list[tuple[str, list[str], bool]] = []
+        self.whole: dict[str, str] = {}
+        for i, text, aliases in sorted(entries, key=lambda e: e[0]):
+            for name in [i, *(a for a in aliases or [] if a)]:
+                typed = words(name)
+                ws = [stem(w) for w in typed]
+                self.names.append((i, ws, True))
+                for form in ("".join(ws), "".join(sorted(ws)), "".join(typed)):
+                    self.whole.setdefault(form, i)
+            if text:
+                self.names.append((i, [stem(w) for w in words(text)], False))
+        self.by_word: dict[str, list[int]] = defaultdict(list)
+        for k, (_, ws, _) in enumerate(self.names):
+            for w in set(ws):
+                self.by_word[w].append(k)
+        self.total = [sum(v.weight[w] for w in ws) for _, ws, _ in self.names]
+        self.phrases = BKTree(iter(sorted(self.whole)))
+
     def match(self, value: str) -> tuple[float, str]:
         """(score, id), or (0, UNMATCHED)."""
-        return self.match_words(words(value))
+        return decided([self.found(words(value))])
 
-    def match_words(self, typed: list[str]) -> tuple[float, str]:
+    def found(self, typed: list[str]) -> tuple[float, str, list[tuple[int, int, str, int, str]]]:
+        """(score, id) by words, and the nearest whole forms: (number of the value's form, distance, form, its length, id)."""
         ws = [stem(w) for w in typed]
         if not ws:
-            return 0.0, UNMATCHED
-        for key in ("".join(ws), "".join(sorted(ws))):
-            if key in self.exact:
-                return 2.0, self.exact[key]
+            return 0.0, "", []
+        light = self.vocabulary.light
+        bare = [w for w in ws if w not in light]
+        near = []
+        for n, key in enumerate(("".join(ws), "".join(sorted(ws)))):
+            for _, x in self.phrases.within(key, 0):
+                return 0.0, "", [(n, 0, x, len(key), self.whole[x])]
+        for n, key in enumerate(dict.fromkeys(("".join(typed), "".join(ws), "".join(bare), "".join(sorted(bare)))), 2):
+            if len(key) > 4:
+                found = self.phrases.within(key, max(1, len(key) // 8)) + [(1, x) for x in swaps(key) if x in self.whole]
+                if found:
+                    d, x = min(found)
+                    near.append((n, d, x, len(key), self.whole[x]))
+        return (*self._by_words(typed, ws), near)
+
+    def _by_words(self, typed: list[str], ws: list[str]) -> tuple[float, str]:
+        v = self.vocabulary
         asked, got = 0.0, defaultdict(dict)
         for n, w in enumerate(ws):
-            if w in self.light:
-                asked += LIGHT
-                near = [(1.0, w)] if w in self.weight else []
-            else:
-                near = self.alike(typed[n])
-                asked += max((self.weight[x] for _, x in near), default=self.unknown(typed[n]))
+            near = [x for x in v.alike(typed[n]) if w not in v.light or x[1] == w]
+            asked += LIGHT if w in v.light else max((v.weight[x] for _, x in near), default=v.unknown(typed[n]))
             for s, x in near:
-                for k in self.by_word[x]:
-                    if s * self.weight[x] > got[k].get(n, (0, ""))[0]:
-                        got[k][n] = (s * self.weight[x], x)
+                for k in self.by_word.get(x, ()):
+                    if s * v.weight[x] > got[k].get(n, (0, ""))[0]:
+                        got[k][n] = (s * v.weight[x], x)
         best = (0.0, "")
         for k, hit in got.items():
             i, own, name = self.names[k]
             once: dict[str, float] = {}
-            for v, x in hit.values():
-                once[x] = max(once.get(x, 0), v)
+            for s, x in hit.values():
+                once[x] = max(once.get(x, 0), s)
             m = sum(once.values())
-            heavy = [x for x in once if x not in self.light]
+            heavy = [x for x in once if x not in v.light]
             p, r = m / asked, m / self.total[k]
             if name:
                 score = 2 * p * r / (p + r) if p + r else 0
                 ok = heavy and score >= BY_NAME
             else:
                 score = p * (0.55 + 0.45 * min(1, r / 0.6))
-                specific = len(heavy) >= 2 or any(len(self.by_word[x]) == 1 and (x in ws or len(x) > 5) for x in heavy)
+                specific = len(heavy) >= 2 or any(v.df[x] == 1 and (x in ws or len(x) > 5) for x in heavy)
                 ok = specific and p >= BY_TEXT and r >= 0.2 and score >= 0.55
             if not ok and len(heavy) >= 2 and any(x in ws for x in heavy) and p >= FEW_WORDS:
                 ok, score = True, 0.5 * score
             if ok and (score > best[0] or score == best[0] and i < best[1]):
                 best = (score, i)
-        if best[0] < SURE:
-            # as a whole: blanks lost or moved, several damaged words
-            bare = [w for w in ws if w not in self.light]
-            for key in dict.fromkeys(("".join(typed), "".join(ws), "".join(bare), "".join(sorted(bare)))):
-                if len(key) > 4:
-                    found = [(1, x) for x in swaps(key) if x in self.whole] or self.phrases.within(key, max(1, len(key) // 8))
-                    if found and (not best[1] or found[0][0] <= 1):
-                        d, x = found[0]
-                        return max(best[0], 1 - d / len(key) - 0.5), self.whole[x]
-        if best[1]:
-            return best
-        return 0.0, UNMATCHED
+        return best
+
+
+def decided(found: list[tuple[float, str, list]]) -> tuple[float, str]:
+    """(score, id) from what the shards have ``found`` of a value, or (0, UNMATCHED)."""
+    best, nearest = (0.0, ""), {}
+    for score, i, near in found:
+        if i and (score > best[0] or score == best[0] and i < best[1]):
+            best = (score, i)
+        for n, d, form, size, own in near:
+            if n not in nearest or (d, form, own) < nearest[n][:3]:
+                nearest[n] = (d, form, own, size)
+    for n in sorted(nearest):
+        d, _, own, size = nearest[n]
+        if n < 2:  # the same words
+            return 2.0, own
+        if best[0] < SURE and (not best[1] or d <= 1):
+            return max(best[0], 1 - d / size - 0.5), own
+    return best if best[1] else (0.0, UNMATCHED)
 
 
 def swaps(w: str) -> list[str]:
@@ -273,31 +310,59 @@ def mapped(df: DataFrame, value: str, reference: DataFrame, key: str = "relation
     A value that exactly equals an id is given that id with the score 3.
     """
     spark = df.sparkSession
-    size = reference.count()
-    if size > MAX_ENTRIES * shards:
-        raise ValueError(f"{size} entries need more than {shards} shards of {MAX_ENTRIES}")
+    entries = reference.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(aliases).alias("aliases")).where("key is not null")
+    shards = max(shards, -(-entries.count() // MAX_ENTRIES))
     clash = [c for c in df.columns if c.lower() in ("matched_id", "match_score")]
     x = df.drop(*clash).where(F.col(value).isNotNull() & (F.btrim(F.col(value), F.lit(" \t\r\n")) != ""))
-    ids = reference.select(F.col(key).alias("__id")).where("__id is not null").distinct()
-    x = x.join(F.broadcast(ids), F.col(value) == F.col("__id"), "left").withColumn("__form", word_form(F.col(value)))
-    # a number of partitions of its own, as what costs here is the search, not the few bytes
-    forms = x.where("__id is null").select("__form").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "__form")
+    # one short string per entry; joined without a hint, so a long list is not broadcast
+    ids = entries.select(F.col("key").alias("__id")).distinct()
+    x = x.join(ids, F.col(value) == F.col("__id"), "left").withColumn("__form", word_form(F.col(value)))
+    # spread by another expression than distinct's own, or it would be left to the few partitions that a few bytes get
+    forms = x.where("__id is null").select("__form").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.crc32("__form"))
+    vocabulary = spark.sparkContext.broadcast(_vocabulary(entries))
     found = None
     for s in range(shards):
-        part = reference.where(F.pmod(F.xxhash64(key), F.lit(shards)) == s).select(key, text, aliases).where(F.col(key).isNotNull()).collect()
-        sent = spark.sparkContext.broadcast(sorted((r[0], r[1] or "", tuple(r[2] or ())) for r in part))
+        part = entries.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s).collect()
+        sent = spark.sparkContext.broadcast(sorted((r[0], r[1], tuple(r[2] or ())) for r in part))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ref = Reference(sent.value)
+            ref = Reference(sent.value, Vocabulary(*vocabulary.value))
             for pdf in batches:
-                rows = [(f, *ref.match_words(f.split())) for f in pdf["__form"]]
-                yield pd.DataFrame(rows, columns=["__form", "match_score", "matched_id"])
+                rows = [(f, *ref.found(f.split())) for f in pdf["__form"]]
+                yield pd.DataFrame([(f, s, i, [dict(zip(_NEAR, n)) for n in near]) for f, s, i, near in rows], columns=["__form", "score", "i", "near"])
 
-        own = forms.mapInPandas(run, "__form string, match_score double, matched_id string")
+        own = forms.mapInPandas(run, f"__form string, {_FOUND}")
         found = own if found is None else found.unionByName(own)
-    if shards > 1:  # the best of the shards, of equal ones the first in the alphabet
-        found = found.groupBy("__form").agg(F.min(F.struct(F.negate("match_score").alias("n"), "matched_id")).alias("b")).select("__form", F.negate("b.n").alias("match_score"), F.col("b.matched_id").alias("matched_id"))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [decided([(g["score"], g["i"], [tuple(n[c] for c in _NEAR) for n in g["near"]]) for g in all_]) for all_ in pdf["all"]]
+            yield pd.DataFrame({"__form": pdf["__form"], "match_score": [r[0] for r in rows], "matched_id": [r[1] for r in rows]})
+
+    # as many findings of a value as there are shards
+    all_ = F.struct("score", "i", "near")
+    found = found.select("__form", F.array(all_).alias("all")) if shards == 1 else found.groupBy("__form").agg(F.collect_list(all_).alias("all"))
+    found = found.mapInPandas(decide, "__form string, match_score double, matched_id string")
     out = x.join(found, "__form", "left")
     exact = F.col("__id").isNotNull()
     out = out.withColumns({"match_score": F.when(exact, 3.0).otherwise(F.col("match_score")), "matched_id": F.when(exact, F.col("__id")).otherwise(F.col("matched_id"))})
     return out.drop("__form", "__id")
+
+
+_NEAR = ("n", "d", "form", "size", "id")
+_FOUND = "score double, i string, near array<struct<n int, d int, form string, size int, id string>>"
+
+
+def _vocabulary(entries: DataFrame) -> tuple[list[str], dict[str, int], int]:
+    """What ``Vocabulary`` is made of, counted over all entries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            typed, df, n = Vocabulary.of(list(zip(pdf["key"], pdf["text"], pdf["aliases"].map(lambda a: list(a) if a is not None else []))))
+            rows = [(0, w, 1) for w in typed] + [(1, w, c) for w, c in df.items()] + [(2, "", n)]
+            yield pd.DataFrame(rows, columns=["kind", "w", "n"])
+
+    rows = entries.mapInPandas(run, "kind int, w string, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")).limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError(f"the reference has more than {MAX_WORDS} words")
+    return [r["w"] for r in rows if r["kind"] == 0], {r["w"]: r["n"] for r in rows if r["kind"] == 1}, sum(r["n"] for r in rows if r["kind"] == 2)

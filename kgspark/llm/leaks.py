@@ -42,6 +42,12 @@ WORD = re.compile(r"\w+")
 END = re.compile(r"[.!?؟]+(?:\s|$)|[\r\n]+")
 
 
+def low(t: str) -> str:
+    """``t`` in lower case, letter by letter of the same length, so that positions are those of ``t``."""
+    x = t.lower()
+    return x if len(x) == len(t) else "".join(c.lower()[0] for c in t)
+
+
 class Index:
     """The windows of a block of items, and what verification needs; ``shared``: words of too many items to tell them apart."""
 
@@ -51,7 +57,7 @@ class Index:
         for i, text in items:
             words, sent, ends = [], [], {}
             for k, part in enumerate(END.split(text or "")):
-                w = WORD.findall(part.lower())
+                w = WORD.findall(low(part))
                 ends[k] = (len(words), len(words) + len(w))
                 words += w
                 sent += [k] * len(w)
@@ -190,7 +196,7 @@ def _shared(items: DataFrame) -> set[str]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"t": [" ".join(WORD.findall(t.lower())) for t in pdf["t"]]})
+            yield pd.DataFrame({"t": [" ".join(WORD.findall(low(t))) for t in pdf["t"]]})
 
     texts = items.select("t").mapInPandas(run, "t string").where("t != ''").distinct()
     few = max(FEW, int(FEW_SHARE * texts.count()))
@@ -216,7 +222,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 rows = []
                 ids, ends = [], []
                 for t in pdf["t"]:
-                    ids += [get(w, 0) for w in WORD.findall(t.lower())]
+                    ids += [get(w, 0) for w in WORD.findall(low(t))]
                     ids.append(0)
                     ends.append(len(ids))
                 ids, ends = np.array(ids, dtype=np.int64), np.array(ends)
@@ -226,12 +232,12 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     begin = ends[d - 1] if d else 0
                     k, t = pdf["k"].iat[d], pdf["t"].iat[d]
                     own = ids[begin : ends[d]]
-                    words = WORD.findall(t.lower())
+                    words = WORD.findall(low(t))
                     spans = None
                     for item, found in index.candidates(own, hits[which == d] - begin).items():
                         got, a, b = index.verify(words, item, found)
                         if got >= share:
-                            spans = spans or [m.span() for m in WORD.finditer(t.lower())]
+                            spans = spans or [m.span() for m in WORD.finditer(low(t))]
                             rows += [(k, i, got, spans[a][0], spans[b - 1][1]) for i in index.ids[item]]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "begin", "end"])
 
