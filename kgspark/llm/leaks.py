@@ -37,6 +37,10 @@ FEW, FEW_SHARE = 3, 0.005
 TOLD = 0.6
 #: Words from a matched word to the end of its sentence that count as matched with it.
 NEAR = 3
+#: Least likeness of a misspelt word: twice the letters in common order of all letters.
+ALIKE = 0.75
+#: Words by which parts of a document are told apart when their reach is remembered.
+STEP = 64
 
 WORD = re.compile(r"\w+")
 END = re.compile(r"[.!?؟]+(?:\s|$)|[\r\n]+")
@@ -83,6 +87,14 @@ class Index:
                 self.windows.setdefault(self._hash(np.array([[self.vocab[x] for x in w] + [0] * (WINDOW - n)])).item(), []).append((k, o))
         self.short = min((len(w) for w in self.words), default=WINDOW) < WINDOW
         self.keys = np.array(sorted(self.windows), dtype=np.uint64)
+        self.numbers = [[self.vocab[w] for w in words] for words in self.words]
+        # weights of telling words: names count twice as much as figures
+        self.told = [[0 if w not in self.telling else 1 if w.isdigit() else 2 for w in words] for words in self.words]
+        self.marks = [frozenset(x for x, w in zip(a, b) if w) for a, b in zip(self.numbers, self.told)]
+        self.long = [[len(w) > 3 for w in words] for words in self.words]
+        self.seen: dict[tuple[str, str], bool] = {}
+        self.liked: dict[str, tuple[int, ...]] = {}
+        self._names()
 
     @staticmethod
     def _hash(w: np.ndarray) -> np.ndarray:
@@ -119,16 +131,87 @@ class Index:
         """Item -> (position, offset in the item) of its windows."""
         out: dict[int, list[tuple[int, int]]] = {}
         pad = np.concatenate([ids, np.zeros(WINDOW, dtype=ids.dtype)])
-        for p in hits.tolist():
-            for m in range(1 if self.short else WINDOW, WINDOW + 1):
-                v = pad[p : p + WINDOW].copy()
-                v[m:] = 0
-                for k, o in self.windows.get(self._hash(v[None]).item(), ()):
+        w = pad[hits[:, None] + np.arange(WINDOW)]
+        for m in range(1 if self.short else WINDOW, WINDOW + 1):
+            v = w.copy()
+            v[:, m:] = 0
+            for p, h in zip(hits.tolist(), self._hash(v).tolist()):
+                for k, o in self.windows.get(h, ()):
                     out.setdefault(k, []).append((p, o))
         return out
 
-    def verify(self, words: list[str], k: int, hits: list[tuple[int, int]]) -> tuple[float, int, int]:
-        """(share of the item's words held, first word, last word + 1) of the best passage around ``hits``."""
+    def _names(self) -> None:
+        """An index of the telling words that may be misspelt: by two letters side by side, with the numbers of their letters."""
+        self.names = [w for w in sorted(self.telling) if len(w) > 3 and not w.isdigit()]
+        self.bags, self.size = _bags(self.names), np.array([len(w) for w in self.names])
+        self.pairs: dict[str, list[int]] = {}
+        for i, w in enumerate(self.names):
+            for x in {w[j : j + 2] for j in range(len(w) - 1)} | ({""} if len(w) <= 6 else set()):
+                self.pairs.setdefault(x, []).append(i)
+
+    def _likes(self, a: str) -> tuple[int, ...]:
+        """Numbers of the telling words that ``a`` can be a misspelling of, remembered by word."""
+        got = self.liked.get(a)
+        if got is None:
+            if len(self.liked) > 300_000:
+                self.liked.clear()
+            # words alike share two letters side by side, unless they have eight letters together at most
+            near = {i for j in range(len(a) - 1) for i in self.pairs.get(a[j : j + 2], ())}
+            if len(a) <= 4:
+                near.update(self.pairs.get("", ()))
+            got = ()
+            if near:
+                at = np.fromiter(near, np.int64, len(near))
+                at = at[np.abs(self.size[at] - len(a)) <= 2]
+                same = np.minimum(self.bags[at], _bags([a])).sum(axis=1)
+                at = at[2 * same >= ALIKE * (self.size[at] + len(a)) - 1e-9]
+                got = tuple(self.vocab[self.names[i]] for i in at.tolist() if _alike(a, self.names[i]))
+            self.liked[a] = got
+        return got
+
+    def reach(self, words: list[str], ids: list[int]) -> set[int]:
+        """Numbers of the item words that a part of a document can match: its own, and telling ones that its words are like."""
+        out = set(ids)
+        for w in set(words):
+            if len(w) > 1:
+                out.update(self._likes(w))
+        return out
+
+    def _like(self, a: str, b: str) -> bool:
+        got = self.seen.get((a, b))
+        if got is None:
+            if len(self.seen) > 300_000:
+                self.seen.clear()
+            got = self.seen[a, b] = _alike(a, b)
+        return got
+
+    def _most(self, reach: set[int], k: int) -> int:
+        """The most of the item's words that held sentences can have in a part of that ``reach``; 0 if no telling word can be matched."""
+        if self.marks[k] and self.marks[k].isdisjoint(reach):
+            return 0
+        # of words that don't tell, every longer one may be matched misspelt
+        can = [x in reach or not w and long for x, w, long in zip(self.numbers[k], self.told[k], self.long[k])]
+        total, told, got = 0, [0], [0]
+        for w, c in zip(self.told[k], can):
+            told.append(told[-1] + w)
+            got.append(got[-1] + (w if c else 0))
+        for begin, end in self.ends[k].values():
+            own, best = [x for x in range(begin, end) if can[x]], 0
+            for a in own:
+                i = begin if a - begin <= NEAR else a
+                for b in reversed(own):
+                    j = end if end - b <= NEAR else b + 1
+                    if b < a or j - i <= best:
+                        break
+                    if got[j] - got[i] >= TOLD * (told[j] - told[i]):
+                        best = j - i
+                        break
+            total += best
+        return total
+
+    def verify(self, words: list[str], ids: list[int], k: int, hits: list[tuple[int, int]], share: float = SHARE, reached: dict | None = None) -> tuple[float, int, int]:
+        """(share of the item's words held, first word, last word + 1) of the best passage around ``hits`` that holds ``share`` of them; ``reached``: what is remembered of the document."""
+        reached = {} if reached is None else reached
         item, sent = self.words[k], self.sentence[k]
         n, slack, best = len(item), len(item) // 3 + 8, (0.0, 0, 0)
         starts = sorted(p - o for p, o in hits)
@@ -140,6 +223,12 @@ class Index:
         for lo, hi in groups:
             lo, hi = max(0, lo - slack), min(len(words), hi + n + slack)
             part = words[lo:hi]
+            # what no alignment can reach needs none
+            x, y = lo // STEP * STEP, -(-hi // STEP) * STEP
+            if (x, y) not in reached:
+                reached[x, y] = self.reach(words[x:y], ids[x:y])
+            if self._most(reached[x, y], k) < share * n:
+                continue
             match: dict[int, int] = {}
             for b in SequenceMatcher(None, part, item, autojunk=False).get_matching_blocks():
                 match.update((b.b + x, b.a + x) for x in range(b.size))
@@ -147,7 +236,7 @@ class Index:
                 if i not in match and len(item[i]) > 3:
                     near = [match[j] + i - j for j in (i - 1, i + 1, i - 2, i + 2) if j in match]
                     for q in near:
-                        if 0 <= q < len(part) and _alike(part[q], item[i]):
+                        if 0 <= q < len(part) and self._like(part[q], item[i]):
                             match[i] = q
                             break
             match = {i: q for i, q in match.items() if any(abs(match.get(i + e, -99) - q - e) <= 3 for e in (-2, -1, 1, 2))}
@@ -160,7 +249,7 @@ class Index:
                 # from the first to the last matched word of the sentence, or to its end if that is near
                 begin, end = self.ends[k][s]
                 i, j = (begin if i - begin <= NEAR else i), (end if end - last[s] <= NEAR else last[s] + 1)
-                told = [(1 if item[x].isdigit() else 2, x in match) for x in range(i, j) if item[x] in self.telling]
+                told = [(self.told[k][x], x in match) for x in range(i, j) if self.told[k][x]]
                 if sum(w for w, m in told if m) >= TOLD * sum(w for w, _ in told):
                     held.append(s)
                     size += j - i
@@ -173,10 +262,19 @@ class Index:
         return best
 
 
+def _bags(words: list[str]) -> np.ndarray:
+    """(words x 32): how many letters of each kind a word has, kinds being code points modulo 32."""
+    out = np.zeros((len(words), 32), np.int16)
+    for i, w in enumerate(words):
+        for c in w:
+            out[i, ord(c) & 31] += 1
+    return out
+
+
 def _alike(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > 2 or b.isdigit():
         return False
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.75
+    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= ALIKE
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -232,10 +330,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     begin = ends[d - 1] if d else 0
                     k, t = pdf["k"].iat[d], pdf["t"].iat[d]
                     own = ids[begin : ends[d]]
-                    words = WORD.findall(low(t))
-                    spans = None
+                    words, numbers = WORD.findall(low(t)), own.tolist()
+                    spans, reached = None, {}
                     for item, found in index.candidates(own, hits[which == d] - begin).items():
-                        got, a, b = index.verify(words, item, found)
+                        got, a, b = index.verify(words, numbers, item, found, share, reached)
                         if got >= share:
                             spans = spans or [m.span() for m in WORD.finditer(low(t))]
                             rows += [(k, i, got, spans[a][0], spans[b - 1][1]) for i in index.ids[item]]
