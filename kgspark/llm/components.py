@@ -7,6 +7,9 @@ of one vertex are linked to the smallest of them and go on to the next round. Th
 at least halve in each round. When no edge is left, the ids of the seeds flow down the
 forest of dropped vertices, latest round first.
 
+Names are numbered once, in their order, so the rounds run on numbers and the smallest number of
+a group is its smallest name.
+
 Skew: a vertex with a third of all edges is only ever grouped by ``min`` (combined on the
 map side) and joined with one row per vertex (split by AQE's skew join). Nothing is
 collected; the lineage is cut by a table each round.
@@ -39,19 +42,36 @@ def links(pairs: DataFrame, a: str = "a", b: str = "b", sim: str = "sim", least:
     return x.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
+def _both(e: DataFrame) -> DataFrame:
+    return e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
+
+
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges between numbers, (vertex, n)): numbers rise with the vertices, which are sorted in ranges, nowhere as a whole."""
+    numbers = cut(_both(edges).select(F.col("u").alias("vertex")).distinct().orderBy("vertex").withColumn("n", F.monotonically_increasing_id()))
+    u, v = numbers.toDF("u", "nu"), numbers.toDF("v", "nv")
+    return edges.join(u, "u").join(v, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v")), numbers
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, seed) of every vertex of ``edges`` (u, v, each link once): seed is the smallest vertex reached."""
-    both = lambda e: e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
-    active, dropped, spent = cut(edges), [], []
-    vertices = both(active).select(F.col("u").alias("x")).distinct()
-    spent.append(active)
+    edges = cut(edges)
+    pairs, numbers = numbered(edges)
+    found = _components(cut(pairs), numbers.select(F.col("n").alias("x")))
+    drop(edges)
+    seed = found.join(numbers.toDF("vertex", "x"), "x").select("vertex", "seed")
+    return seed.join(numbers.toDF("s", "seed"), "seed").select("vertex", F.col("s").alias("seed"))
+
+
+def _components(active: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(x, seed) of numbered vertices; ``active``, a table of ``cut``, is used up."""
+    dropped = []
     while True:
-        near = both(active)
+        near = _both(active)
         least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         heard = near.join(least, "u").select(F.col("v").alias("x"), "m").union(least.select("u", "m")).distinct()
         heard = cut(heard)
-        if active is not spent[0]:
-            drop(active)
+        drop(active)
         low = heard.groupBy("x").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("x")).alias("seed"), F.count("m").alias("n"))
         tree = cut(low.where(~F.col("seed")).select("x", F.col("low").alias("parent")))
         dropped.append(tree)
@@ -64,14 +84,15 @@ def components(edges: DataFrame) -> DataFrame:
     for tree in reversed(dropped):
         if known:
             up = reduce(DataFrame.unionByName, known).select(F.col("x").alias("parent"), F.col("seed").alias("above"))
-            flowed = tree.join(up, "parent", "left").select("x", F.coalesce("above", "parent").alias("seed"))
-            known.append(cut(flowed))
+            known.append(cut(tree.join(up, "parent", "left").select("x", F.coalesce("above", "parent").alias("seed"))))
             drop(tree)
         else:
-            known.append(tree.select("x", F.col("parent").alias("seed")))
+            known.append(tree.toDF("x", "seed"))
     below = reduce(DataFrame.unionByName, known)
     roots = vertices.join(below.select("x"), "x", "left_anti").select("x", F.col("x").alias("seed"))
-    return below.unionByName(roots).select(F.col("x").alias("vertex"), "seed")
+    out = cut(below.unionByName(roots))
+    drop(dropped[-1], *known)
+    return out
 
 
 def groups(pairs: DataFrame, a: str = "a", b: str = "b", sim: str = "sim", least: float = 0.95) -> DataFrame:
