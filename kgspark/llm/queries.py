@@ -35,8 +35,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar others of every record whose id is divisible by 20, against all records."""
-    x = neighbours.neighbours(table(spark, d, "kg_entities"), "rec_id", "embedding", 5, queries=F.col("id") % 20 == 0, lists=1)
+    """The five most similar others of every record whose id is divisible by 20, against all records, by the probed lists."""
+    x = neighbours.neighbours(table(spark, d, "kg_entities"), "rec_id", "embedding", 5, queries=F.col("id") % 20 == 0)
     return x.select("id", "other", F.round("cosine", 5).alias("cosine"))
 
 

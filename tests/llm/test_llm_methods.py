@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import canonical, fusion, leaks, mixing, split
+from kgspark.llm import canonical, fusion, leaks, mixing, neighbours, split
 
 RNG = random.Random(11)
 ENT = "id string, canonical_name string, base_types array<string>, status string, source string, updated_at timestamp_ntz"
@@ -203,3 +203,41 @@ def test_search_has_many_tasks(spark):
     df = spark.createDataFrame([(k, f"value number {k}") for k in range(500)], "seq long, v string")
     plan = canonical.mapped(df, "v", ref)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+# 3: the index finds at least nine in ten, in one level or two
+
+
+def brute_nearest(m, k):
+    s = m @ m.T
+    np.fill_diagonal(s, -9)
+    return np.argsort(-s, axis=1, kind="stable")[:, :k]
+
+
+@pytest.mark.parametrize("level", [1024, 16])
+def test_recall_of_the_index(spark, monkeypatch, level):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((150, 64))
+    m = centres[rng.integers(0, 150, 3000)] + 0.6 * rng.standard_normal((3000, 64))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "rec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "LEVEL", level)
+    true = brute_nearest(m, 5)
+    got = {(r["id"], r["other"]) for r in neighbours.neighbours(df, "rec_id", "embedding", 5, queries=F.col("id") % 20 == 0).collect()}
+    assert np.mean([(i, j) in got for i in range(0, 3000, 20) for j in true[i].tolist()]) >= 0.9
+    s = m @ m.T
+    near = {(i, j) for i in range(3000) for j in true[i].tolist() if s[i, j] >= 0.85}
+    near = {(min(p), max(p)) for p in near}
+    pairs = {tuple(r) for r in neighbours.pairs(neighbours.neighbours(df, "rec_id", "embedding", 5, least=0.85), 0.85).collect()}
+    assert not near or len(near & pairs) >= 0.97 * len(near)
+
+
+def test_lists_grow_with_the_collection(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, i, r.tobytes()) for i, r in enumerate(m)], "h long, id long, v binary")
+    monkeypatch.setattr(neighbours, "LEVEL", 16)
+    lists = neighbours.fit_lists(df, 126, 64)
+    assert 100 <= len(lists) <= 160 and len(lists.coarse) == 12
+    near = lists.nearest(m[:50], 8)
+    assert near.shape == (50, 8) and (near < len(lists)).all() and (near[:, 0] >= 0).all()
