@@ -10,9 +10,12 @@ typed one word by word in any order: equal, misspelt, abbreviated, initials, nic
 from names recorded beside each other), words run together or torn apart. A word that tells
 relatives apart must not be missing or added on either side, nor a first name be another.
 
+A recorded word that can stand for a common one ("cliinic", "moha") is no key of a name that has a
+rarer word: that one must be matched anyway, so the link is found by its key.
+
 Names without such a word (all their words common or of up to three letters) have all their words
 together as key: a typed name has those of the words that each of its own can stand for, and
-must leave none out. A word of up to three letters has no misspellings.
+must leave none out. A word of up to three letters has no misspellings. Initials alone name nothing.
 
 The name typed and the canonical form given beside it are two spellings of one entity: the
 first decides, the second where the first says nothing, and between equals.
@@ -127,8 +130,8 @@ def swap_distance(a: str, b: str) -> int:
 class Trie:
     """A trie as arrays, built level by level: children of a node lie side by side, in the order of their letters."""
 
-    def __init__(self, words: np.ndarray, ends: np.ndarray, roots: np.ndarray):
-        """``words``: letters (n x longest, 0 beyond the end); ``ends``: lengths; ``roots``: number of the root of each word, from 0 on."""
+    def __init__(self, words: np.ndarray, ends: np.ndarray, roots: np.ndarray, own: np.ndarray):
+        """``words``: letters (n x longest); ``ends``: lengths; ``roots``: number of the root of each word, from 0 on; ``own``: the ``bags`` of the words."""
         n, longest = words.shape
         self.n_roots = int(roots.max()) + 1 if n else 0
         node = roots.astype(np.int64)
@@ -151,23 +154,36 @@ class Trie:
         self.many = np.bincount(parent[self.n_roots :], minlength=total) if total else np.zeros(0, np.int64)
         # lengths of the shortest and the longest word below each node
         self.short, self.long = np.full(total, 1 << 30), np.zeros(total, np.int64)
-        np.minimum.at(self.short, self.last, ends)
-        np.maximum.at(self.long, self.last, ends)
+        # letters that all, and that any, of the words below have
+        self.all, self.any = np.full(total, ~np.uint64(0)), np.zeros(total, np.uint64)
+        up = ((np.minimum, self.short, ends), (np.maximum, self.long, ends), (np.bitwise_and, self.all, own), (np.bitwise_or, self.any, own))
+        for f, at, new in up:
+            f.at(at, self.last, new)
         for lo, hi in reversed(list(zip(levels[1:], [*levels[2:], total]))):
-            np.minimum.at(self.short, parent[lo:hi], self.short[lo:hi])
-            np.maximum.at(self.long, parent[lo:hi], self.long[lo:hi])
+            for f, at, _ in up:
+                f.at(at, parent[lo:hi], at[lo:hi])
         self.order = np.argsort(self.last, kind="stable")
         self.at = np.searchsorted(self.last[self.order], np.arange(total + 1))
 
 
-def walk(trie: Trie, root: np.ndarray, word: np.ndarray, own: np.ndarray, letters: np.ndarray, masks: np.ndarray, size: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bags(words: np.ndarray) -> np.ndarray:
+    """The letters of each word (code points, 0 beyond its end) as bits, those equal modulo 64 being one."""
+    out = np.zeros(len(words), np.uint64)
+    for j in range(words.shape[1]):
+        c = words[:, j]
+        out |= np.where(c > 0, np.uint64(1) << (c.astype(np.uint64) & np.uint64(63)), np.uint64(0))
+    return out
+
+
+def walk(trie: Trie, root: np.ndarray, word: np.ndarray, own: np.ndarray, letters: np.ndarray, masks: np.ndarray, size: np.ndarray, edits: np.ndarray, bag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(asked, known, errors): Levenshtein automata of many words walk the trie together, one level at a time.
 
     An automaton is a set of states for each number of errors, as bits; it may make at most one error in
     the first half of its word. Neighbours changing places are one error: ``swap`` holds the states that
     have read the second of two letters and wait for the first. ``masks``: (words x letters) positions of
     each letter. ``own``: whether the root is the key of the word's first ``letters`` as they are; below other
-    keys, words that begin with those letters are left to that one.
+    keys, words that begin with those letters are left to that one. ``bag``: the letters of each word; an
+    error brings or takes one letter at most, so subtrees whose letters differ by more are left out.
     """
     one, two = np.uint64(1), np.uint64(2)
     n = size.astype(np.uint64)
@@ -186,7 +202,9 @@ def walk(trie: Trie, root: np.ndarray, word: np.ndarray, own: np.ndarray, letter
         begin = np.cumsum(many) - many
         node = (trie.first[node] - begin)[rep] + np.arange(len(rep))
         z = q[rep]
-        fit = (trie.long[node] >= size[z] - edits[z]) & (trie.short[node] <= size[z] + edits[z])
+        n_z, e_z, b_z = size[z], edits[z], bag[z]
+        fit = (trie.long[node] >= n_z - e_z) & (trie.short[node] <= n_z + e_z)
+        fit &= (np.bitwise_count(trie.all[node] & ~b_z) <= e_z) & (np.bitwise_count(b_z & ~trie.any[node]) <= e_z)
         rep, node, q = rep[fit], node[fit], z[fit]
         depth += 1
         m = masks[q, trie.letter[node]]
@@ -248,7 +266,7 @@ def search(asked: list[tuple[str, str]], known: list[tuple[str, str]]) -> set[tu
     turn = lambda k, w: w if k[0] == "<" else w[::-1]
     points, size = _letters([w for _, w in known], np.array([k[0] == ">" for k, _ in known]))
     signs = np.unique(points)  # the first is 0, beyond the end of a word
-    tree = Trie(np.searchsorted(signs, points), size, np.array([keys[k] for k, _ in known]))
+    tree = Trie(np.searchsorted(signs, points), size, np.array([keys[k] for k, _ in known]), bags(points))
     for lo in range(0, len(asked), 4000):
         part = asked[lo : lo + 4000]
         points, size = _letters([w for _, w in part], np.array([k[0] == ">" for k, _ in part]))
@@ -259,7 +277,7 @@ def search(asked: list[tuple[str, str]], known: list[tuple[str, str]]) -> set[tu
             masks[rows[ok], at[ok, j]] |= np.uint64(1 << j)
         edits = np.where(size >= LONG, EDITS, EDITS - 1)
         own = np.array([turn(k, w).startswith(k[2:]) and len(k) == int(k[1]) + 2 for k, w in part])
-        q, k, e = walk(tree, np.array([keys[x] for x, _ in part]), rows, own, np.array([int(x[1]) for x, _ in part]), masks, size, edits)
+        q, k, e = walk(tree, np.array([keys[x] for x, _ in part]), rows, own, np.array([int(x[1]) for x, _ in part]), masks, size, edits, bags(points))
         out.update((part[i][1], known[j][1], d) for i, j, d in zip(q.tolist(), k.tolist(), e.tolist()))
     return out
 
@@ -459,6 +477,10 @@ class Nearby:
             self.other.setdefault(a, set()).add(b)
             self.other.setdefault(b, set()).add(a)
 
+    def stands(self, w: str) -> bool:
+        """Whether ``w`` can stand for a longer word of the vocabulary than a letter, misspelt or shortened."""
+        return any(len(v) > 1 for v in self.of(w))
+
     @staticmethod
     def _cuts(w: str) -> set[str]:
         """``w`` with up to two letters less: words two edits apart have one of these in common."""
@@ -583,13 +605,15 @@ def linked(mentions: DataFrame, entities: DataFrame, mention: str = "mention", c
 
     def name_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = named.value
+        near = Nearby(common, Comparer(*sent.value))
         for pdf in batches:
             rows = []
             for i, n in zip(pdf["id"], pdf["name"]):
                 ws = telling_words(n)
                 keys = {w for w in ws if w not in common and len(w) > 3}
+                keys = {w for w in keys if not near.stands(w)} or keys
                 keys |= {a + b for a, b in zip(ws, ws[1:]) if a not in common and b not in common and len(a + b) > 5}
-                if ws and all(w in common or len(w) <= 3 for w in ws):  # no rare word: all words together, marked by a blank
+                if any(len(w) > 1 for w in ws) and all(w in common or len(w) <= 3 for w in ws):  # no rare word: all words together, marked by a blank
                     keys |= {" " + x for x in signatures(ws)}
                     if len(ws) > 1:
                         keys.add("".join(ws))
