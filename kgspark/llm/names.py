@@ -192,7 +192,7 @@ def walk(trie: Trie, root: np.ndarray, word: np.ndarray, own: np.ndarray, letter
     most = [np.where(edits >= i, full if i < 2 else full & low, np.uint64(0)).astype(np.uint64) for i in range(EDITS + 1)]
     q, node = word, root
     state = [(((one << np.uint64(i + 1)) - one) & most[i])[q] for i in range(EDITS + 1)]
-    swap = [np.zeros(len(q), np.uint64) for _ in range(EDITS + 1)]
+    swap = [np.zeros(len(q), np.uint64) for _ in range(EDITS)]
     out, depth = [], 0
     while len(q):
         many = trie.many[node]
@@ -208,15 +208,15 @@ def walk(trie: Trie, root: np.ndarray, word: np.ndarray, own: np.ndarray, letter
         rep, node, q = rep[fit], node[fit], z[fit]
         depth += 1
         m = masks[q, trie.letter[node]]
-        new, pend = [((state[0][rep] & m) << one) & most[0][q]], [np.zeros(len(q), np.uint64)]
+        new, pend = [((state[0][rep] & m) << one) & most[0][q]], []
         for i in range(1, EDITS + 1):
             s, before, cap = state[i][rep], state[i - 1][rep], most[i][q]
-            t = (s & m) << one | before | before << one | new[i - 1] << one | (swap[i][rep] & m) << two
+            t = (s & m) << one | before | before << one | new[i - 1] << one | (swap[i - 1][rep] & m) << two
             new.append(t & cap)
             pend.append(np.where(cap > 0, before & (m >> one), np.uint64(0)))
-        alive = new[0] | pend[1]
-        for t in (*new[1:], *pend[2:]):
-            alive = alive | t
+        alive = new[0] | pend[0]
+        for t in (*new[1:], *pend[1:]):
+            alive |= t
         keep = alive != 0
         own = own[rep]
         keep &= own | (new[0] == 0) | (letters[q] != depth)
@@ -257,8 +257,9 @@ def shard_keys(w: str, asks: bool) -> set[str]:
 
 def search(asked: list[tuple[str, str]], known: list[tuple[str, str]]) -> set[tuple[str, str, int]]:
     """(asked word, known word, distance) of the (key, word) pairs that share a key and are near each other."""
-    keys = {k: i for i, k in enumerate(sorted({k for k, _ in known}))}
-    asked = [(k, w) for k, w in asked if k in keys and len(w) > 3]
+    keys: dict[str, int] = {}
+    roots = np.array([keys.setdefault(k, len(keys)) for k, _ in known], dtype=np.int64)
+    asked = [x for x in asked if x[0] in keys and len(x[1]) > 3]
     out = _search_long([x for x in asked if len(x[1]) > LONGEST], known)
     asked = [x for x in asked if len(x[1]) <= LONGEST]
     if not asked:
@@ -266,7 +267,7 @@ def search(asked: list[tuple[str, str]], known: list[tuple[str, str]]) -> set[tu
     turn = lambda k, w: w if k[0] == "<" else w[::-1]
     points, size = _letters([w for _, w in known], np.array([k[0] == ">" for k, _ in known]))
     signs = np.unique(points)  # the first is 0, beyond the end of a word
-    tree = Trie(np.searchsorted(signs, points), size, np.array([keys[k] for k, _ in known]), bags(points))
+    tree = Trie(np.searchsorted(signs, points), size, roots, bags(points))
     for lo in range(0, len(asked), 4000):
         part = asked[lo : lo + 4000]
         points, size = _letters([w for _, w in part], np.array([k[0] == ">" for k, _ in part]))
@@ -611,7 +612,8 @@ def linked(mentions: DataFrame, entities: DataFrame, mention: str = "mention", c
             for i, n in zip(pdf["id"], pdf["name"]):
                 ws = telling_words(n)
                 keys = {w for w in ws if w not in common and len(w) > 3}
-                keys = {w for w in keys if not near.stands(w)} or keys
+                if len(keys) > 1:
+                    keys = {w for w in keys if not near.stands(w)} or keys
                 keys |= {a + b for a, b in zip(ws, ws[1:]) if a not in common and b not in common and len(a + b) > 5}
                 if any(len(w) > 1 for w in ws) and all(w in common or len(w) <= 3 for w in ws):  # no rare word: all words together, marked by a blank
                     keys |= {" " + x for x in signatures(ws)}
