@@ -20,13 +20,13 @@ ANALYTICAL_CUES = (
 # Phrases that ask for all of something.
 ENUMERATION = r"(?i)\b(every|each|complete list|full list|list all|list of all|enumerate|name all|name every|all the|all of the)\b"
 YES_NO = "is are was were did does do has had have can could will would should".split()
-# The hints for the form of an answer.
+#: Hints for the form of an answer.
 HINTS = {
-    "yes_no": "Answer format: This is a yes/no question — start with Yes or No, then explain briefly.",
-    "who": "Answer format: Name the specific person(s) or character(s).",
-    "where": "Answer format: Name the specific place or location.",
-    "when": "Answer format: Provide the specific time, date, or period.",
-    "number": "Answer format: Provide a specific number or quantity.",
+    "yes_no": "Answer format: yes or no comes first, the reason after it.",
+    "who": "Answer format: give the names of those asked for.",
+    "where": "Answer format: give the place.",
+    "when": "Answer format: give the date, time or span of time.",
+    "number": "Answer format: give the number or amount.",
 }
 # Cues that a name follows, in the order they are tried.
 LOOKUP_CUES = (

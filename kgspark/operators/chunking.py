@@ -163,6 +163,11 @@ def contextual(docs: DataFrame, prefix: Callable[[DataFrame], DataFrame], base:
     return c.join(said, "chunk_id", "left").withColumn("text", t).drop("context")
 
 
+def part_of(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, index): which document each chunk is part of, and where."""
+    return chunks.select("chunk_id", "doc_id", F.col("chunk_index").alias("index"))
+
+
 def link(chunks: DataFrame) -> DataFrame:
     """With next_chunk_id: the following chunk of the same document."""
     return chunks.withColumn("next_chunk_id", F.lead("chunk_id").over(Window.partitionBy("doc_id").orderBy("chunk_index")))

@@ -14,13 +14,19 @@ from kgspark.lineage import cut, drop
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that is linked to each node of ``edges``, directly or not.
 
-    Large-star and small-star rounds: every node links its larger neighbours, then all of its smaller ones, to
-    the smallest of its neighbourhood, until nothing changes. Null ends and self-loops link nothing but
+    Nodes are numbered once, in their order. Large-star and small-star rounds then run on numbers: every node links
+    its larger neighbours, then all of its smaller ones, to the smallest of its neighbourhood, until the sum
+    over all links, taken while a round is written, stays the same. Null ends and self-loops link nothing but
     a self-loop's node is a component of its own.
     """
-    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    nodes = cut(e.select("u").union(e.select("v")).distinct())
-    now = cut(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v")))
+    # sorted in ranges, so numbers rise with the nodes and no task sees them all
+    number = cut(e.select("u").union(e.select("v")).distinct().orderBy("u").select(F.col("u").alias("node"), F.monotonically_increasing_id().alias("n")))
+    x, y = number.toDF("u", "x"), number.toDF("v", "y")
+    links = e.where("u != v").join(x, "u").join(y, "v")
+    now = cut(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    drop(e)
+    before = None
     while True:
         both = now.union(now.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -29,12 +35,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         new = cut(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        changed = not new.join(now, ["u", "v"], "left_anti").isEmpty() or new.count() != now.count()
         drop(now)
-        now = new
-        if not changed:
+        now, state = new, tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
             break
-    return nodes.join(now.groupBy("u").agg(F.min("v").alias("v")), nodes["u"] == now["u"], "left").select(nodes["u"].alias("node"), F.coalesce("v", nodes["u"]).alias("component"))
+        before = state
+    found = now.groupBy("u").agg(F.min("v").alias("v")).toDF("n", "m")
+    out = number.join(found, "n", "left").select("node", F.coalesce("m", "n").alias("m"))
+    return out.join(number.toDF("component", "m"), "m").select("node", "component")
 
 
 def chain_ends(links: DataFrame, alias: str = "alias", canonical: str = "canonical") -> DataFrame:

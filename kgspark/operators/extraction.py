@@ -1,13 +1,25 @@
-"""Extractor answers (JSON) to candidate entities and edges, and the choice of passages for coreference."""
+"""Extraction: passages to provider answers (JSON) to candidate entities and edges, with coreference before it.
+
+Strategies: ``single`` (one call for entities and relationships), ``llm`` (entities first, then verified with
+relationships), ``hybrid`` (names recognised without a model, then verified with relationships by one call).
+Calls run in the tasks, batch by batch; a passage whose call fails keeps what the earlier step found.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import name_key
+from kgspark.lineage import cut
 from kgspark.ontology import DEFAULT, Ontology
 
+SYSTEM = "Extract the entities and relationships of the text as JSON."
+STRATEGIES = ("single", "llm", "hybrid")
 SCORED = "array<struct<type:string,score:double>>"
 ANSWER = (
     f"struct<entities:array<struct<mention:string,canonical_candidate:string,base_type_candidates:{SCORED},domain_type_candidates:{SCORED},functional_roles:array<string>,status:string,"
@@ -15,12 +27,12 @@ ANSWER = (
     "evidence_language:string,confidence:double,status:string,condition:string,temporal:map<string,string>>>>"
 )
 # Words that may refer to something named before.
-REFERRING = (" he ", " she ", " it ", " they ", " his ", " her ", " its ", " their ", " him ", " them ", "this company", "the company", "the organization", "the clinic", "the center", "the same")
+REFERRING = (" he ", " she ", " it ", " they ", " him ", " her ", " them ", " his ", " its ", " their ", " we ", " our ", " the company", " the branch", " the organization", " the service")
 FIT_KNOWN, FIT_UNKNOWN, NER_SCORE = 1.0, 0.3, 0.8
 
 
 def needs_coreference(text: Column) -> Column:
-    t, out = F.concat(F.lit(" "), F.lower(text), F.lit(" ")), F.lit(False)
+    t, out = F.lower(text), F.lit(False)
     for w in REFERRING:
         out = out | t.contains(w)
     return out
@@ -79,10 +91,94 @@ def edges_of(answers: DataFrame, ontology: Ontology = DEFAULT) -> DataFrame:
         F.lit("").alias("alternative_group"),
         text("e.status").alias("status"),
         text("e.condition").alias("condition"),
+        F.coalesce("e.temporal", F.create_map().cast("map<string,string>")).alias("temporal"),
     )
     return out.where("src != '' and dst != ''")
 
 
+def resolved_references(chunks: DataFrame, provider, text: str = "text") -> DataFrame:
+    """``chunks`` with references replaced by names in those passages that may hold some; where the provider fails or says nothing, the text stays."""
+    from kgspark.plans import prompts
+    from kgspark.plans.providers import completed
+
+    x = chunks.withColumn("_ask", F.concat(F.lit("Text:\n"), F.col(text)))
+    some = completed(x.where(needs_coreference(F.col(text))), provider, prompts.REFERENCES, "_ask", "_said", "_why")
+    reply = F.btrim(F.coalesce("_said", F.lit("")), F.lit(" \t\r\n"))
+    whole = F.get_json_object(F.col("_said"), "$.resolved_text")
+    # a reply that is no JSON is the text itself
+    new = F.coalesce(F.nullif(whole, F.lit("")), F.when(~reply.startswith("{"), F.nullif(reply, F.lit(""))), F.col(text))
+    return some.withColumn(text, new).select(*chunks.columns).unionByName(x.where(~F.coalesce(needs_coreference(F.col(text)), F.lit(False))).select(*chunks.columns))
+
+
+def span_summary(text: str, found: list[tuple[str, int, int, str]]) -> str:
+    """Recognised names as the JSON that is to be verified, each spelling once."""
+    from kgspark.operators.ner import LABEL_TYPES
+
+    seen, out = set(), []
+    for t, a, b, label in found:
+        if t.strip().lower() not in seen and t.strip():
+            seen.add(t.strip().lower())
+            out.append({"mention": t.strip(), "base_type": LABEL_TYPES.get(label.upper(), ""), "ner_label": label, "start_char": a, "end_char": b})
+    return json.dumps(out, ensure_ascii=False)
+
+
+def answers_of_spans(found: list[tuple[str, int, int, str]]) -> str:
+    """Recognised names as an extractor's answer, where no model gives one: each with its type at ``NER_SCORE``."""
+    from kgspark.operators.ner import LABEL_TYPES
+
+    seen, out = set(), []
+    for t, _, _, label in found:
+        name = t.strip().lower()
+        if name and name not in seen:
+            seen.add(name)
+            kind = LABEL_TYPES.get(label.upper(), "")
+            out.append({"mention": name, "canonical_candidate": name, "base_type_candidates": [{"type": kind, "score": NER_SCORE}] if kind else []})
+    return json.dumps({"entities": out, "relationships": []}, ensure_ascii=False)
+
+
+def extracted(chunks: DataFrame, provider, strategy: str = "single", ontology: Ontology = DEFAULT, recogniser=None, text: str = "text") -> DataFrame:
+    """``chunks`` with ``answer``, by a strategy; ``recogniser`` (text -> spans) stands for the built-in recognition of names."""
+    from kgspark.operators import ner
+    from kgspark.plans import prompts
+    from kgspark.plans.providers import completed
+
+    if strategy == "single":
+        return parsed(completed(chunks, provider, SYSTEM, text)).drop("response", "error")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown extraction {strategy}; known: {', '.join(STRATEGIES)}")
+    ask = lambda of: F.concat(F.lit("Text:\n"), F.col(text), F.lit("\n\nEntities:\n"), F.coalesce(of, F.lit("[]")))
+    names = F.coalesce(F.get_json_object("_first", "$.entities"), F.lit("[]"))
+    two = lambda df: completed(completed(df, provider, prompts.entities(ontology), text, "_first", "_why1").withColumn("_ask", ask(names)), provider, prompts.verified(ontology), "_ask", "_second", "_why2")
+    rest = lambda df: parsed(df, "_said").select(*chunks.columns, "answer")
+    some = F.size("answer.entities") > 0
+    better = lambda df: parsed(df, "_second").withColumn("_said", F.when(F.coalesce(some, F.lit(False)), F.col("_second")))
+    if strategy == "llm":
+        x = better(two(chunks)).drop("answer")
+        return rest(x.withColumn("_said", F.coalesce("_said", "_first")))
+    find = recogniser or ner.spans
+
+    @F.pandas_udf("struct<summary:string,answer:string>")
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            rows = []
+            for t in s:
+                try:
+                    found = find(t or "")
+                except Exception:  # without recognition the passage goes to the model
+                    found = []
+                rows.append((span_summary(t, found), answers_of_spans(found)) if found else (None, None))
+            yield pd.DataFrame(rows, columns=["summary", "answer"])
+
+    x = cut(chunks.withColumn("_n", named(F.col(text))).select(*chunks.columns, F.col("_n.summary").alias("_summary"), F.col("_n.answer").alias("_spans")))
+    one = completed(x.where("_summary is not null").withColumn("_ask", ask(F.col("_summary"))), provider, prompts.verified(ontology), "_ask", "_second", "_why")
+    # a reply without entities keeps its relationships
+    one = parsed(one, "_second").withColumn("_none", F.coalesce(F.size("answer.entities") <= 0, F.lit(True)))
+    kept = F.from_json("_spans", ANSWER)
+    both = F.when(F.col("_none"), F.struct(kept.entities.alias("entities"), F.coalesce(F.col("answer.relationships"), kept.relationships).alias("relationships"))).otherwise(F.col("answer"))
+    none = better(two(x.where("_summary is null"))).drop("answer").withColumn("_said", F.coalesce("_said", "_first"))
+    return one.withColumn("answer", both.cast(ANSWER)).select(*chunks.columns, "answer").unionByName(rest(none))
+
+
 def entities_from_spans(spans: DataFrame) -> DataFrame:
     """Candidate entities of recognised names (chunk_id, span, label), where there is no answer of a model."""
     from kgspark.operators.ner import base_type

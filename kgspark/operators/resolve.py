@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import is_raw_temporal, name_key
-from kgspark.functions.vector import cosine
+from kgspark.lineage import cut
 from kgspark.ontology import RAW_TYPES
 from kgspark.operators.closure import chain_ends, components
 
@@ -112,28 +112,19 @@ def canonical_entities(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.select("name", base.alias("base_types"), F.coalesce("domain_types", strings).alias("domain_types"), F.coalesce("functional_roles", strings).alias("functional_roles"), F.coalesce("status", F.lit("")).alias("status"), "aliases", F.col("n_evidence"), "n")
 
 
-def similar_pairs(vectors: DataFrame, least: float, block: str, key: str = "name", vec: str = "embedding") -> DataFrame:
-    """(a, b, sim) of a < b within a block with a cosine of at least ``least``.
-
-    ``block`` is an array column; pairs meet where their arrays do. The blocks must be small for this to be
-    fast; for collections use an index. A pair is compared once, in its first common block.
-    """
-    x = vectors.where(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.col(vec).alias("v"), F.col(block).alias("bs"))
-    e = x.select("k", "v", "bs", F.explode(F.array_distinct("bs")).alias("b"))
-    a, b = e.select(F.col("k").alias("a"), F.col("v").alias("va"), F.col("bs").alias("ba"), "b"), e.select(F.col("k").alias("b_"), F.col("v").alias("vb"), F.col("bs").alias("bb"), "b")
-    pairs = a.join(b, "b").where((F.col("a") < F.col("b_")) & (F.col("b") == F.array_min(F.array_intersect("ba", "bb"))))
-    return pairs.select("a", F.col("b_").alias("b"), cosine(F.col("va"), F.col("vb"), strict=True).alias("sim")).where(F.col("sim") >= least)
-
-
 def merge_groups(pairs: DataFrame, entities: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None, merge: float = MERGE) -> DataFrame:
-    """(name, survivor): names joined by pairs of ``merge`` or more, and by those below that ``verify`` keeps.
+    """(name, survivor): names joined by pairs of ``merge`` or more, and by those below that ``verify`` keeps; it gets (a, b, sim, group_a, group_b), the groups being those of the sure pairs.
 
     The survivor has the most evidence, then the longest name in bytes, then the first in the alphabet.
     """
     sure = pairs.where(F.col("sim") >= merge).select("a", "b")
-    if verify is not None:
-        sure = sure.unionByName(verify(pairs.where((F.col("sim") >= VERIFY) & (F.col("sim") < merge))).select("a", "b"))
     comp = components(sure)
+    if verify is not None:  # pairs that are one already need no question
+        soft = pairs.where((F.col("sim") >= VERIFY) & (F.col("sim") < merge))
+        for end, col in (("a", "_ca"), ("b", "_cb")):
+            soft = soft.join(comp.select(F.col("node").alias(end), F.col("component").alias(col)), end, "left")
+        soft = soft.where(~F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False))).withColumns({"_ca": F.coalesce("_ca", "a"), "_cb": F.coalesce("_cb", "b")})
+        comp = components(sure.unionByName(verify(soft.select("a", "b", "sim", F.col("_ca").alias("group_a"), F.col("_cb").alias("group_b"))).select("a", "b")))
     x = comp.join(entities.select(F.col("name").alias("node"), "n_evidence"), "node", "left")
     rank = F.struct(F.coalesce("n_evidence", F.lit(0)).alias("n"), F.octet_length("node").alias("l"))
     best = x.groupBy("component").agg(F.max(rank).alias("top"))
@@ -148,13 +139,79 @@ def exact_duplicates(nodes: DataFrame, name: str = "name") -> DataFrame:
     return x.join(first, "k").select("name", "survivor")
 
 
-def remap(edges: DataFrame, survivors: DataFrame) -> DataFrame:
-    """(src, rel, dst, weight) with merged ends: no self-loops, weights of equal edges added."""
+def moved(edges: DataFrame, survivors: DataFrame) -> DataFrame:
+    """``edges`` with the ends that have merged, all columns kept and no self-loops; equal edges are still to be made one."""
     m = survivors.where("name != survivor")
     x = edges
     for end in ("src", "dst"):
         x = x.join(m.select(F.col("name").alias(end), F.col("survivor").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-    return x.where("src != dst").groupBy("src", "rel", "dst").agg(F.sum("weight").alias("weight"))
+    return x.where("src != dst").select(*edges.columns)
+
+
+def remap(edges: DataFrame, survivors: DataFrame) -> DataFrame:
+    """(src, rel, dst, weight) with merged ends: no self-loops, weights of equal edges added."""
+    return moved(edges.select("src", "rel", "dst", "weight"), survivors).groupBy("src", "rel", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def merge_canonical(entities: DataFrame, survivors: DataFrame) -> DataFrame:
+    """Entities with the columns of ``canonical_entities``, those of one survivor made one.
+
+    Lists are united, the survivor's own values first and the others' in the order of their names; its
+    status stays if it is known, else the first known one; the names that go become aliases (language 'und');
+    evidence counts are added. Every list is gathered without repeats.
+    """
+    m = survivors.where("name != survivor").select("name", "survivor")
+    x = entities.join(m, "name", "left").withColumn("to", F.coalesce("survivor", "name")).withColumn("at", F.struct((F.col("to") != F.col("name")).alias("other"), "name"))
+    out = entities.select("name").join(m.select("name"), "name", "left_anti")
+    for c in ("base_types", "domain_types", "functional_roles"):
+        v = x.select("to", F.explode(c).alias("v"), "at", F.array_position(c, F.col("v")).alias("i")).groupBy("to", "v").agg(F.min(F.struct("at", "i")).alias("p"))
+        v = v.groupBy(F.col("to").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda z: z.v).alias(c))
+        out = out.join(v, "name", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    known = ~F.coalesce("status", F.lit("")).isin("", "unknown")
+    one = x.groupBy(F.col("to").alias("name")).agg(
+        F.min_by(F.when(known, F.col("status")), F.when(known, F.col("at"))).alias("_known"),
+        F.min_by(F.coalesce("status", F.lit("")), "at").alias("_own"),
+        F.sum("n_evidence").alias("n_evidence"),
+        F.sum("n").alias("n"),
+    )
+    lang = dict(entities.dtypes)["aliases"]
+    gone = F.when(F.col("to") != F.col("name"), F.array(F.struct(F.col("name").alias("text"), F.lit("und").alias("lang")).cast("struct<text:string,lang:string>"))).otherwise(F.array().cast("array<struct<text:string,lang:string>>"))
+    al = x.select("to", "at", F.posexplode(F.concat(F.coalesce("aliases", F.array().cast(lang)), gone.cast(lang))).alias("i", "v")).groupBy("to", "v").agg(F.min(F.struct("at", "i")).alias("p"))
+    al = al.groupBy(F.col("to").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda z: z.v).alias("aliases"))
+    out = out.join(one, "name").join(al, "name", "left").withColumns({"status": F.coalesce("_known", "_own"), "aliases": F.coalesce("aliases", F.array().cast(lang))})
+    return out.select(*entities.columns)
+
+
+def tiered(entities: DataFrame, vectors: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None, merge: float = MERGE, ask: float = VERIFY) -> tuple[DataFrame, DataFrame]:
+    """(alias map, canonical entities) of candidate entities in three tiers.
+
+    Names first: aliases, services that are one (where both forms exist), canonical entities. Then vectors (name, embedding):
+    canonical names whose base types meet and whose cosine is ``merge`` or more are one; of those from ``ask`` on the ones
+    that ``verify`` keeps; what is linked through others is one too. Pairs are found by ``simjoin``, not by trying all.
+    """
+    from kgspark.operators.simjoin import similar
+
+    named = alias_map(entities)
+    names = entities.select(F.coalesce(F.nullif(name_key(F.col("canonical")), F.lit("")), name_key(F.col("mention"))).alias("name")).where("name != ''").distinct()
+    services = entities.where(F.exists("base_types", lambda t: t.type == "service")).select(F.coalesce(F.nullif(name_key(F.col("canonical")), F.lit("")), name_key(F.col("mention"))).alias("name"))
+    collapsed = collapse_services(services.join(names, "name", "left_semi"))
+    aliases = cut(named.join(collapsed.select("alias"), "alias", "left_anti").unionByName(collapsed))
+    canon = cut(canonical_entities(entities, aliases))
+    pairs = cut(similar(canon.join(vectors.select("name", "embedding"), "name").select("name", "embedding", "base_types"), ask if verify else merge, "name", "embedding", "base_types"))
+    groups = cut(merge_groups(pairs, canon, verify, merge))
+    lost = groups.where("name != survivor").select(F.col("name").alias("alias"), F.col("survivor").alias("canonical"))
+    # an alias of a name that has merged means the survivor
+    aliases = aliases.join(lost.select(F.col("alias").alias("canonical"), F.col("canonical").alias("_to")), "canonical", "left").select("alias", F.coalesce("_to", "canonical").alias("canonical"))
+    return aliases.join(lost.select("alias"), "alias", "left_anti").unionByName(lost), merge_canonical(canon, groups)
+
+
+def semantic_duplicates(nodes: DataFrame, least: float = MERGE, name: str = "name", vec: str = "embedding") -> DataFrame:
+    """(name, survivor): nodes linked, directly or not, by a cosine of ``least`` or more; the longest name in bytes survives, of equal ones the first."""
+    from kgspark.operators.simjoin import similar
+
+    comp = components(similar(nodes, least, name, vec))
+    longest = comp.groupBy("component").agg(F.min(F.struct(F.negate(F.octet_length("node")).alias("l"), "node")).alias("m"))
+    return comp.join(longest, "component").select(F.col("node").alias("name"), F.col("m.node").alias("survivor"))
 
 
 def with_aliases(entities: DataFrame, aliases: DataFrame) -> DataFrame:

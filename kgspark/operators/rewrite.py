@@ -121,17 +121,65 @@ def repair_planned(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return x.select(*edges.columns)
 
 
-def complete_by_name(edges: DataFrame, names: DataFrame, relations: tuple[str, ...], new: str) -> DataFrame:
-    """Missing (src, new, dst): dst is a name that holds the first word (four bytes or more) of a source of ``relations``.
+#: Statuses of entities that are no branch any more.
+GONE = ("historical", "former", "inactive")
+
+
+def _grams(name: Column, n: int) -> Column:
+    """The different stretches of ``n`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substr(name, i, F.lit(n))))
+
+
+def is_branch(name: Column, base_types: Column, domain_types: Column, roles: Column, hints: tuple[str, ...]) -> Column:
+    """An organisation that its domain type, role or name shows to be a branch."""
+    none = F.array().cast("array<string>")
+    return F.array_contains(F.coalesce(base_types, none), "organization") & (
+        F.exists(F.coalesce(domain_types, none), lambda t: any_phrase(t, hints)) | F.arrays_overlap(F.coalesce(roles, none), F.array(F.lit("branch"), F.lit("operated_unit"))) | any_phrase(name, hints)
+    )
+
+
+def complete_branches(edges: DataFrame, entities: DataFrame, relations: tuple[str, str] = ("HAS_BRANCH", "HAS_PLANNED_BRANCH"), hints: tuple[str, ...] = DEFAULT.branch_hints) -> DataFrame:
+    """(src, rel, dst, evidence_text, status) missing between networks and their branches.
 
-    The theta join "contains" becomes an equi-join on the words of the names, so nothing is broadcast and no pair is tried in vain.
+    A network is a source of one of ``relations`` (of active, of planned branches). Its branches are the
+    entities (name, base_types, domain_types, functional_roles, status) that look like one, are not gone, and
+    whose name contains the network's first word, of four bytes or more.
+
+    The theta join "contains" becomes an equi-join on stretches of four characters of the names (two for shorter
+    words) with the word's first ones, and a check; only branches take part, and nothing is broadcast.
     """
-    hubs = edges.where(F.col("rel").isin(*relations)).select("src").distinct()
-    hubs = hubs.withColumn("word", F.element_at(F.split(trim(F.col("src")), r"\s+"), 1)).where(F.octet_length("word") >= 4)
-    words = names.select(F.col("name").alias("dst"), F.explode(F.array_distinct(F.split(F.col("name"), r"\s+"))).alias("word"))
-    pairs = hubs.join(words, "word").where("src != dst").select("src", "dst").distinct()
-    linked = edges.where(F.col("rel").isin(*relations)).select("src", "dst")
-    return pairs.join(linked, ["src", "dst"], "left_anti").select("src", F.lit(new).alias("rel"), "dst")
+    linked = edges.where(F.col("rel").isin(*relations)).select("src", "dst").distinct()
+    hubs = linked.select("src").distinct().withColumn("word", F.element_at(F.split(trim(F.lower("src")), r"\s+"), 1)).where(F.octet_length("word") >= 4)
+    hubs = hubs.withColumn("n", F.when(F.length("word") >= 4, 4).otherwise(2)).withColumn("g", F.substr("word", F.lit(1), F.col("n")))
+    none = F.array().cast("array<string>")
+    planned = (F.coalesce("status", F.lit("")) == "planned") | F.array_contains(F.coalesce("functional_roles", none), "planned_unit")
+    e = entities.where(is_branch(F.col("name"), F.col("base_types"), F.col("domain_types"), F.col("functional_roles"), hints) & ~F.coalesce("status", F.lit("")).isin(*GONE))
+    e = e.select(F.col("name").alias("dst"), planned.alias("planned"), F.lower("name").alias("l"))
+    e = e.select("dst", "planned", "l", F.explode(F.array(F.lit(4), F.lit(2))).alias("n")).withColumn("g", F.explode(F.when(F.col("n") == 4, _grams(F.col("l"), 4)).otherwise(_grams(F.col("l"), 2))))
+    pairs = hubs.join(e, ["n", "g"]).where(F.contains("l", F.col("word")) & (F.col("src") != F.col("dst"))).select("src", "dst", "planned").distinct()
+    pairs = pairs.join(linked, ["src", "dst"], "left_anti")
+    said = F.concat("src", F.lit(" operates "), "dst", F.lit(" as a branch."))
+    return pairs.select("src", F.when(F.col("planned"), relations[1]).otherwise(relations[0]).alias("rel"), "dst", said.alias("evidence_text"), F.when(F.col("planned"), "planned").otherwise("active").alias("status"))
+
+
+def complete_by_name(edges: DataFrame, names: DataFrame, relations: tuple[str, ...], new: str) -> DataFrame:
+    """Missing (src, new, dst) where every name is a branch: see ``complete_branches``."""
+    e = names.select("name", F.array(F.lit("organization")).alias("base_types"), F.array().cast("array<string>").alias("domain_types"), F.array(F.lit("branch")).alias("functional_roles"), F.lit("").alias("status"))
+    known = edges.where(F.col("rel").isin(*relations)).select("src", F.lit(new).alias("rel"), "dst")
+    return complete_branches(known, e, (new, new)).select("src", "rel", "dst")
+
+
+def dated(edges: DataFrame) -> DataFrame:
+    """Edges with what their evidence dates added to ``temporal``; dates that are there already stay."""
+    found = temporal_facts(F.col("evidence_text"), F.col("status"), F.col("rel"))
+    return edges.withColumn("_t", found).withColumn("temporal", F.map_concat("temporal", F.map_filter("_t", lambda k, v: ~F.map_contains_key(F.col("temporal"), k)))).drop("_t")
+
+
+def dates_of_targets(edges: DataFrame) -> DataFrame:
+    """(name, temporal): the dates of the edges that end at an entity, the first edge (by seq) deciding for each kind."""
+    x = edges.select(F.col("dst").alias("name"), "seq", F.explode("temporal").alias("k", "v"))
+    x = x.groupBy("name", "k").agg(F.min_by("v", "seq").alias("v"))
+    return x.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("temporal"))
 
 
 def drop_contradicted(edges: DataFrame) -> DataFrame:

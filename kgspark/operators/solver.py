@@ -121,6 +121,13 @@ def final_score(evidence: Column, fit: Column, confidence: Column) -> Column:
     return F.when(s == 0, z(confidence)).otherwise(s)
 
 
+def build_final(edges: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with weight, entities): the weight is the final score after folding; an end that is no entity becomes a bare one."""
+    e = edges.withColumn("weight", final_score(F.col("evidence_score"), F.col("schema_fit_score"), F.col("confidence")))
+    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
+    return e, names.join(entities, "name", "left")
+
+
 def select(edges: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """With score; of a group the best edge, of the others each, if they score ``least`` or more."""
     x = edges.withColumn("score", final_score(F.col("evidence_score"), F.col("schema_fit_score"), F.col("confidence"))).where(F.col("score") >= least)
@@ -130,19 +137,61 @@ def select(edges: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     return x.where(alone).unionByName(best)
 
 
+#: Arrivals of a block of the fold: the most rows of one edge that are gathered at once, seq being unique.
+FOLD_BLOCK = 4096
+
+
+def _folded(steps: Column) -> Column:
+    """Composition of steps (t, k, w, c, d, dc, first) in order: below the score t the result is (k, w, c), else score and confidence grow by d and dc.
+
+    Such steps are closed under composition, so blocks can be folded apart and then together.
+    """
+
+    def then(a: Column, b: Column) -> Column:
+        taken = a.k < b.t  # what the earlier steps give is replaced by the later ones
+        return F.struct(
+            F.when(a.first, F.lit(float("inf"))).otherwise(F.greatest(a.t, b.t - a.d)).alias("t"),
+            F.when(taken, b.k).otherwise(a.k + b.d).alias("k"),
+            F.when(taken, b.w).otherwise(a.w).alias("w"),
+            F.when(taken, b.c).otherwise(a.c + b.dc).alias("c"),
+            (a.d + b.d).alias("d"),
+            (a.dc + b.dc).alias("dc"),
+            a.first.alias("first"),
+        )
+
+    return F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.element_at(steps, 1), then)
+
+
 def fold_duplicates(edges: DataFrame) -> DataFrame:
-    """One edge per lower-cased (src, rel, dst): the one of highest score, by arrival.
+    """One edge per lower-cased (src, rel, dst), folded in order of seq, which must be unique.
 
-    Its confidence grows by a tenth of each later duplicate's; an edge that replaces another starts
-    from its own. What later ones add is a sum after the last replacement, so no group is collected.
+    The first edge stands until one of a higher final score replaces it. Every later edge, a
+    replacing one too, adds a tenth of its confidence to the one that stands then, and with it to the
+    score that the next ones must exceed. The arrivals of an edge are folded in blocks of
+    ``FOLD_BLOCK`` seqs, then the blocks, so no group is gathered whole.
     """
     key = [F.lower("src").alias("_s"), F.col("rel").alias("_r"), F.lower("dst").alias("_d")]
-    x = edges.select("*", *key)
-    best = x.groupBy("_s", "_r", "_d").agg(F.max(F.struct("score", F.negate("seq").alias("n"))).alias("m")).select("_s", "_r", "_d", F.negate("m.n").alias("_seq"), F.col("m.score").alias("_score"))
-    x = x.join(best, ["_s", "_r", "_d"])
-    more = x.groupBy("_s", "_r", "_d").agg(F.sum(F.when(F.col("seq") > F.col("_seq"), F.coalesce("confidence", F.lit(0.0)) * 0.1).otherwise(0.0)).alias("_more"))
-    x = x.where("seq = _seq").join(more, ["_s", "_r", "_d"])
-    return x.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)) + F.col("_more")).select(*edges.columns)
+    conf = F.coalesce("confidence", F.lit(0.0)).cast("double")
+    x = edges.select("seq", *key, conf.alias("c"), final_score(F.col("evidence_score"), F.col("schema_fit_score"), F.col("confidence")).cast("double").alias("f"))
+    first = x.groupBy("_s", "_r", "_d").agg(F.min("seq").alias("_first"))
+    x = x.join(first, ["_s", "_r", "_d"])
+    own, more, new = 0.1 * F.col("c"), 0.03 * F.col("c"), F.col("seq") == F.col("_first")
+    step = F.struct(
+        F.when(new, F.lit(float("inf"))).otherwise(F.col("f")).alias("t"),
+        F.when(new, F.col("f")).otherwise(F.col("f") + more).alias("k"),
+        F.col("seq").alias("w"),
+        F.when(new, F.col("c")).otherwise(F.col("c") + own).alias("c"),
+        more.alias("d"),
+        own.alias("dc"),
+        new.alias("first"),
+    )
+    ordered = lambda col: F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(col).alias("x")))), lambda e: e.x)
+    x = x.select("_s", "_r", "_d", "seq", F.floor(F.col("seq") / FOLD_BLOCK).alias("_b"), step.alias("_x"))
+    x = x.groupBy("_s", "_r", "_d", "_b").agg(F.min("seq").alias("seq"), ordered("_x").alias("_x")).withColumn("_x", _folded(F.col("_x")))
+    x = x.groupBy("_s", "_r", "_d").agg(ordered("_x").alias("_x")).select("_s", "_r", "_d", _folded(F.col("_x")).alias("_x"))
+    x = x.select("_s", "_r", "_d", F.col("_x.w").alias("seq"), F.col("_x.c").alias("_c"), F.col("_x.k").alias("_k"))
+    out = edges.select("*", *key).join(x, ["_s", "_r", "_d", "seq"]).withColumn("confidence", F.col("_c"))
+    return (out.withColumn("score", F.col("_k")) if "score" in edges.columns else out).select(*edges.columns)
 
 
 def post_validate(edges: DataFrame, entities: DataFrame, alias_map: DataFrame) -> tuple[DataFrame, DataFrame]:

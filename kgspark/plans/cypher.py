@@ -42,7 +42,8 @@ class _State:
 
 
 class Compiler:
-    def __init__(self, entities: DataFrame, edges: DataFrame, params: dict | None = None):
+    def __init__(self, entities: DataFrame, edges: DataFrame, params: dict | None = None, chunks: DataFrame | None = None, mentions: DataFrame | None = None):
+        self.chunks, self.mentions = chunks, mentions
         self.params, self.n, self.aggregated = params or {}, 0, False
         self.entities = entities.withColumn("_key", F.col("name"))
         self.edges = edges.withColumn("edge_id", F.xxhash64("src", "rel", "dst"))
@@ -442,6 +443,6 @@ class Compiler:
         raise Unsupported(f"unknown function {name}")
 
 
-def query(entities: DataFrame, edges: DataFrame, text: str, params: dict | None = None) -> DataFrame:
-    """The rows of a statement; entities: (name, type, ...), edges: (src, rel, dst, ...)."""
-    return Compiler(entities, edges, params).run(text)
+def query(entities: DataFrame, edges: DataFrame, text: str, params: dict | None = None, chunks: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
+    """The rows of a statement; entities: (name, type, ...), edges: (src, rel, dst, ...); chunks and mentions for the procedures that search them."""
+    return Compiler(entities, edges, params, chunks, mentions).run(text)

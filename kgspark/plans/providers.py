@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -48,7 +49,24 @@ class RuleProvider(HashEmbedder):
 
     def complete(self, system: str, user: str) -> str:
         from kgspark.operators.ner import LABEL_TYPES, spans
-
+        from kgspark.plans import prompts
+
+        body = user.removeprefix("Text:\n").split("\n\nEntities:\n")[0]
+        if system == prompts.NAMES:
+            return json.dumps({"names": [t for t, *_ in spans(user.removeprefix("Question: "))]})
+        if system == prompts.ANSWER:  # the context is the answer: its lines, without a model's wording
+            return json.dumps({"answer": user.split("<context>\n")[-1].split("\n</context>")[0]})
+        if system == prompts.REFERENCES:
+            return json.dumps({"resolved_text": body})
+        if system == prompts.REWRITE:  # names of the last turns go with the question
+            history, _, question = user.partition("\n\nFollow-up question: ")
+            names = " ".join(dict.fromkeys(t for line in history.split("\n")[1:] for t, *_ in spans(line.partition(": ")[2])))
+            return json.dumps({"rewritten_question": f"{question} {names}".strip()})
+        if system == prompts.SAME:
+            return "NO"
+        if system == prompts.CONTEXT or system.startswith("Translate the question"):
+            return ""
+        user = body
         found = spans(user)
         entities = [{"mention": t, "canonical_candidate": t.lower(), "base_type_candidates": [{"type": LABEL_TYPES.get(x, "concept"), "score": 0.8}], "evidence": t} for t, _, _, x in found]
         data, rels = user.encode(), []
@@ -62,6 +80,22 @@ class RuleProvider(HashEmbedder):
         return json.dumps({"entities": entities, "relationships": rels})
 
 
+class NerService:
+    """Recognises names by a service: POST {"text"} to ``url``, which replies with [{"text", "start", "end", "label"}]."""
+
+    def __init__(self, url: str, timeout: float = 30.0):
+        self.url, self.timeout = url, timeout
+
+    def __call__(self, text: str) -> list[tuple[str, int, int, str]]:
+        from urllib.request import Request, urlopen
+
+        body = Request(self.url, json.dumps({"text": text}).encode(), {"Content-Type": "application/json"})
+        with urlopen(body, timeout=self.timeout) as reply:
+            found = json.loads(reply.read())
+        found = found.get("entities", found.get("spans", [])) if isinstance(found, dict) else found
+        return [(x["text"], int(x["start"]), int(x["end"]), str(x["label"])) for x in found]
+
+
 class ReplayProvider(HashEmbedder):
     """Recorded answers by the hash of system and user text; a missing one raises KeyError."""
 
@@ -80,20 +114,21 @@ class ReplayProvider(HashEmbedder):
 class Breaker:
     """Stops calling what keeps failing: opens after ``most`` failures, tries again after a growing pause."""
 
-    def __init__(self, most: int = 5, first: float = 1.0, longest: float = 30.0, clock: Callable[[], float] = time.monotonic):
-        self.most, self.first, self.longest, self.clock = most, first, longest, clock
+    def __init__(self, most: int = 5, first: float = 1.0, longest: float = 30.0, clock: Callable[[], float] = time.monotonic, jitter: float = 0.25):
+        self.most, self.first, self.longest, self.clock, self.jitter = most, first, longest, clock, jitter
         self.failures, self.opened, self.until = 0, 0, 0.0
 
     def call(self, f: Callable, *args):
         if self.failures >= self.most and self.clock() < self.until:
-            raise RuntimeError("the circuit is open")
+            raise RuntimeError("the circuit is open")  # once the pause is over, one call tries again
         try:
             out = f(*args)
         except Exception:
             self.failures += 1
             if self.failures >= self.most:
                 self.opened += 1
-                self.until = self.clock() + min(self.longest, self.first * 2 ** (self.opened - 1))
+                # a quarter more or less, so that tasks don't try again all at once
+                self.until = self.clock() + min(self.longest, self.first * 2 ** (self.opened - 1)) * (1 + self.jitter * (2 * random.random() - 1))
             raise
         self.failures = self.opened = 0
         return out
