@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as tx
 from kgspark.functions import vector
-from kgspark.operators import chunking, closure, governance, graph, ner, resolve, retrieval, rewrite, solver
+from kgspark.operators import chunking, closure, governance, graph, ner, resolve, retrieval, rewrite, simjoin, solver
 from kgspark.ontology import DEFAULT
 from kgspark.plans import cypher
 from kgspark.session import table as T
@@ -139,10 +139,13 @@ def question_flags(s, d):
     return x.select("item_id", "q", tx.question_type(q).alias("kind"), tx.wants_all(q).alias("wants_all"), tx.wants_analysis(q).alias("wants_analysis"))
 
 
-@query(rf"""SELECT seq, mention FROM candidate_entities WHERE regexp_matches(lower(trim(mention)), '{tx.RAW_TEMPORAL}') OR
- len(list_filter(base_types, lambda t: t.type IN ('date_time','quantity','money','identifier') AND t.score >= 0.5)) > 0 GROUP BY ALL""")
+@query(rf"""WITH x AS (SELECT seq, mention, base_types FROM candidate_entities UNION ALL SELECT event_id, strftime(ts, '%H:%M'), [] FROM events UNION ALL SELECT event_id, event_type, [{{'type': 'money', 'score': value / 100}}] FROM events)
+SELECT seq, mention FROM x WHERE regexp_matches(lower(trim(mention)), '{tx.RAW_TEMPORAL}') OR len(list_filter(base_types, lambda t: t.type IN ('date_time','quantity','money','identifier') AND t.score >= 0.5)) > 0 GROUP BY ALL""")
 def raw_value_entities(s, d):
-    x = T(s, d, "candidate_entities")
+    ev = T(s, d, "events")
+    none = F.array().cast("array<struct<type:string,score:double>>")
+    x = T(s, d, "candidate_entities").select("seq", "mention", "base_types").unionByName(ev.select(F.col("event_id").alias("seq"), F.date_format("ts", "HH:mm").alias("mention"), none.alias("base_types")))
+    x = x.unionByName(ev.select(F.col("event_id").alias("seq"), F.col("event_type").alias("mention"), F.array(F.struct(F.lit("money").alias("type"), (F.col("value") / 100).alias("score"))).alias("base_types")))
     return x.where(resolve.is_raw_value(F.col("base_types"), F.col("mention"))).select("seq", "mention").distinct()
 
 
@@ -167,11 +170,10 @@ _RES = ", ".join(f"('{k}', '{r}', {known}, {flip})" for k, (r, known, flip) in D
 
 
 @query(f"""WITH m(raw, relation, known, flip) AS (VALUES {_RES}), {_E},
-x AS (SELECT coalesce(m.relation, upper(trim(e.relation_raw))) AS relation, coalesce(m.known, false) AS known, coalesce(m.flip, false) AS flip FROM e LEFT JOIN m ON m.raw = upper(trim(e.relation_raw)))
-SELECT relation, known, flip, count(*) AS n FROM x GROUP BY ALL""")
+x AS (SELECT seq, src, dst, rel, CASE WHEN rel = '' THEN coalesce(m.relation, upper(trim(e.relation_raw))) ELSE rel END AS relation, CASE WHEN rel = '' THEN coalesce(m.flip, false) ELSE false END AS flip FROM e LEFT JOIN m ON m.raw = upper(trim(e.relation_raw)))
+SELECT seq, CASE WHEN flip THEN dst ELSE src END AS src, relation AS rel, CASE WHEN flip THEN src ELSE dst END AS dst FROM x WHERE src <> dst AND (rel <> '' OR relation <> '')""")
 def resolve_relations(s, d):
-    x = _edges(s, d).select(DEFAULT.resolve(F.col("relation_raw")).alias("r"))
-    return x.groupBy(F.col("r.relation").alias("relation"), F.col("r.known").alias("known"), F.col("r.flip").alias("flip")).agg(F.count("*").alias("n"))
+    return rewrite.resolve_relations(_edges(s, d)).select("seq", "src", "rel", "dst")
 
 
 _NEG = " ".join(f"WHEN rel = '{p}' THEN '{n}'" for p, n in rewrite.NEGATIVES.items())
@@ -208,14 +210,18 @@ def conditional_annotate(s, d):
 _DATE = "coalesce(" + ", ".join(f"nullif(regexp_extract(evidence_text, '{p}', 1), '')" for p in rewrite.DATES) + ", '')"
 
 
-@query(rf"""WITH {_E}, t AS (SELECT seq, {_DATE} AS first_date, lower(evidence_text) AS low FROM e)
-SELECT seq, first_date, CASE WHEN first_date <> '' AND {_any("low", rewrite.TEMPORAL_CUES["valid_through"])} THEN first_date END AS valid_through, CASE WHEN first_date <> '' AND {_any("low", rewrite.TEMPORAL_CUES["start_date"])} THEN first_date END AS start_date,
- CASE WHEN contains(low, 'schedule') OR contains(low, 'every ') THEN nullif(regexp_extract(low, '{rewrite.SCHEDULE}', 1), '') END AS schedule FROM t""")
+_PLANNED = "(status = 'planned' OR rel = 'HAS_PLANNED_BRANCH')"
+_GUARD = {"opened_on": f" AND NOT {_PLANNED}", "expected_opening": f" AND ({_PLANNED} OR {_any('low', ('expected', 'scheduled', 'planned', 'will open'))})"}
+_CUED = ", ".join(f"CASE WHEN first_date <> '' AND {_any('low', v)}{_GUARD.get(k, '')} THEN first_date END AS {k}" for k, v in rewrite.TEMPORAL_CUES.items())
+
+
+@query(rf"""WITH {_E}, t AS (SELECT seq, status, rel, {_DATE} AS first_date, lower(evidence_text) AS low FROM e)
+SELECT seq, first_date, {_CUED}, CASE WHEN contains(low, 'schedule') OR contains(low, 'every ') THEN nullif(regexp_extract(low, '{rewrite.SCHEDULE}', 1), '') END AS schedule FROM t""")
 def temporal_facts(s, d):
     x = _edges(s, d)
     x = x.select("seq", rewrite.first_date(F.col("evidence_text")).alias("first_date"), rewrite.temporal_facts(F.col("evidence_text"), F.col("status"), F.col("rel")).alias("m"))
     at = lambda k: F.try_element_at("m", F.lit(k)).alias(k)
-    return x.select("seq", "first_date", at("valid_through"), at("start_date"), at("schedule"))
+    return x.select("seq", "first_date", *[at(k) for k in (*rewrite.TEMPORAL_CUES, "schedule")])
 
 
 @query(f"""WITH {_K}, p AS (SELECT DISTINCT src AS name FROM k WHERE rel = 'PLANS_SITE')
@@ -242,12 +248,21 @@ def structure_inverse(s, d):
     return rewrite.add_inverses(x).join(x.select("src", "rel", "dst").distinct(), ["src", "rel", "dst"], "left_anti").select("src", "rel", "dst").distinct()
 
 
-@query(r"""WITH n AS (SELECT DISTINCT canonical_name AS name FROM kg_entities WHERE canonical_name IS NOT NULL), h AS (SELECT DISTINCT src, split_part(src, ' ', 1) AS w FROM kg_edges WHERE rel = 'RUNS_SITE'),
-p AS (SELECT DISTINCT h.src, n.name AS dst FROM h JOIN n ON list_contains(string_split_regex(n.name, '\s+'), h.w) AND n.name <> h.src WHERE strlen(h.w) >= 4)
-SELECT src, 'RUNS_SITE' AS rel, dst FROM p WHERE NOT EXISTS (SELECT 1 FROM kg_edges k WHERE k.rel = 'RUNS_SITE' AND k.src = p.src AND k.dst = p.dst)""")
+_HINTS = "(" + " OR ".join("contains(lower(%s), '" + h + "')" for h in DEFAULT.branch_hints) + ")"
+_hint = lambda c: _HINTS.replace("%s", c)
+
+
+@query(rf"""WITH n AS (SELECT canonical_name AS name, list_distinct(flatten(list(coalesce(base_types, [])))) AS bt, list_distinct(flatten(list(coalesce(domain_types, [])))) AS dt, list_distinct(flatten(list(coalesce(functional_roles, [])))) AS fr, coalesce(min(status), '') AS status
+ FROM kg_entities WHERE canonical_name IS NOT NULL GROUP BY 1),
+b AS (SELECT * FROM n WHERE list_contains(bt, 'organization') AND status NOT IN ('historical', 'former', 'inactive') AND (len(list_filter(dt, lambda t: {_hint("t")})) > 0 OR list_has_any(fr, ['branch', 'operated_unit']) OR {_hint("name")})),
+h AS (SELECT DISTINCT src, split_part(lower(src), ' ', 1) AS w FROM kg_edges WHERE rel IN ('RUNS_SITE', 'PLANS_SITE')),
+p AS (SELECT DISTINCT h.src, b.name AS dst, b.status = 'planned' OR list_contains(fr, 'planned_unit') AS planned FROM h JOIN b ON contains(lower(b.name), h.w) AND b.name <> h.src WHERE strlen(h.w) >= 4)
+SELECT src, CASE WHEN planned THEN 'PLANS_SITE' ELSE 'RUNS_SITE' END AS rel, dst, CASE WHEN planned THEN 'planned' ELSE 'active' END AS status, src || ' operates ' || dst || ' as a branch.' AS evidence_text FROM p
+WHERE NOT EXISTS (SELECT 1 FROM kg_edges k WHERE k.rel IN ('RUNS_SITE', 'PLANS_SITE') AND k.src = p.src AND k.dst = p.dst)""")
 def branch_completion(s, d):
-    names = T(s, d, "kg_entities").where("canonical_name is not null").select(F.col("canonical_name").alias("name")).distinct()
-    return rewrite.complete_by_name(T(s, d, "kg_edges"), names, ("RUNS_SITE",), "RUNS_SITE")
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))).alias(c)
+    n = T(s, d, "kg_entities").where("canonical_name is not null").groupBy(F.col("canonical_name").alias("name")).agg(flat("base_types"), flat("domain_types"), flat("functional_roles"), F.coalesce(F.min("status"), F.lit("")).alias("status"))
+    return rewrite.complete_branches(T(s, d, "kg_edges"), n, ("RUNS_SITE", "PLANS_SITE"))
 
 
 @query("""SELECT dst AS name, CASE WHEN max(CASE WHEN status = 'active' THEN 2 WHEN status = 'planned' THEN 1 ELSE 0 END) = 2 THEN 'active' ELSE 'planned' END AS status
@@ -277,14 +292,18 @@ def alias_map_last_wins(s, d):
     return resolve.alias_map(_cands(s, d))
 
 
-@query(f"""WITH {_CE}, n AS (SELECT c.*, coalesce(am.canonical, c.canon) AS name FROM c LEFT JOIN am ON am.alias = c.canon WHERE c.canon <> ''),
-b AS (SELECT name, list_sort(list_distinct(list(t.type))) AS base FROM (SELECT name, unnest(base_types) AS t FROM n) WHERE t.score >= 0.5 GROUP BY name)
+_LIST = lambda c, v, cond: f"(SELECT name, list(v ORDER BY s, i) AS x FROM (SELECT name, v, min((seq, i))[1] AS s, min((seq, i))[2] AS i FROM (SELECT name, seq, generate_subscripts({c}, 1) AS i, unnest({c}) AS u FROM n) t, LATERAL (SELECT {v} AS v) WHERE {cond} GROUP BY name, v) GROUP BY name)"
+
+
+@query(f"""WITH {_CE}, n AS (SELECT c.*, coalesce(am.canonical, c.canon) AS name FROM c LEFT JOIN am ON am.alias = c.canon WHERE c.canon <> '')
 SELECT n.name, count(*) AS n, sum(coalesce(len(evidence), 0)) AS n_evidence, coalesce(min_by(n.status, n.seq) FILTER (n.status IS NOT NULL AND n.status NOT IN ('', 'unknown')), '') AS status,
- array_to_string(coalesce(any_value(b.base), ['concept']), '|') AS base_types FROM n LEFT JOIN b USING (name) GROUP BY n.name""")
+ array_to_string(coalesce(any_value(b.x), ['concept']), '|') AS base_types, array_to_string(coalesce(any_value(dd.x), []), '|') AS domain_types, array_to_string(coalesce(any_value(r.x), []), '|') AS roles,
+ len(list_distinct(flatten(list(coalesce(n.aliases, []))))) AS n_aliases
+FROM n LEFT JOIN {_LIST("base_types", "u.type", "u.score >= 0.5")} b USING (name) LEFT JOIN {_LIST("domain_types", "u.type", "u.score >= 0.5")} dd USING (name) LEFT JOIN {_LIST("functional_roles", "u", "true")} r USING (name) GROUP BY n.name""")
 def canonical_entities(s, d):
     c = _cands(s, d)
     x = resolve.canonical_entities(c, resolve.alias_map(c))
-    return x.select("name", "n", "n_evidence", "status", joined("base_types").alias("base_types"))
+    return x.select("name", "n", "n_evidence", "status", F.array_join("base_types", "|").alias("base_types"), F.array_join("domain_types", "|").alias("domain_types"), F.array_join("functional_roles", "|").alias("roles"), F.size("aliases").cast("long").alias("n_aliases"))
 
 
 @query(f"""WITH {_CE}, {_E} SELECT seq, coalesce(x.canonical, e.src) AS src, coalesce(y.canonical, e.dst) AS dst FROM e LEFT JOIN am x ON x.alias = e.src LEFT JOIN am y ON y.alias = e.dst""")
@@ -320,10 +339,14 @@ def finalize_exact_dedup(s, d):
 _SIMSQL = """round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 5)"""
 
 
-@query(f"""SELECT a.vec_id AS a, b.vec_id AS b, {_SIMSQL.format(a="a.embedding", b="b.embedding")} AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.8""")
+_USABLE = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0"
+
+
+@query(f"""WITH v AS (SELECT rec_id, embedding, base_types FROM kg_entities WHERE {_USABLE})
+SELECT a.rec_id AS a, b.rec_id AS b, {_SIMSQL.format(a="a.embedding", b="b.embedding")} AS sim FROM v a JOIN v b ON a.rec_id < b.rec_id WHERE list_has_any(a.base_types, b.base_types) AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.8""")
 def vector_pairs_threshold(s, d):
-    x = T(s, d, "embeddings").select("vec_id", "embedding", F.array(F.col("label").cast("string")).alias("block"))
-    return resolve.similar_pairs(x, 0.8, "block", "vec_id").withColumn("sim", F.round("sim", 5))
+    x = T(s, d, "kg_entities").where(F.size("embedding") == 64).select("rec_id", "embedding", "base_types")
+    return simjoin.similar(x, 0.8, "rec_id", "embedding", "base_types").withColumn("sim", F.round("sim", 5))
 
 
 @query("""WITH RECURSIVE e AS (SELECT a AS x, b AS y FROM merge_pairs WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM merge_pairs WHERE a IS NOT NULL AND b IS NOT NULL),
@@ -415,12 +438,17 @@ def cooccurrence_pairs(s, d):
     return graph.cooccurrence(T(s, d, "lineitem"), "l_orderkey", "l_suppkey", least=2)
 
 
-@query(f"""WITH {_E}, b AS (SELECT src, rel, dst, round(sum(coalesce(confidence, 0)), 5) AS weight, count(*) AS n, coalesce(min_by(status, seq) FILTER (status <> ''), '') AS status FROM e GROUP BY ALL),
-t AS (SELECT src, rel, dst, evidence_text, min(seq) AS s FROM e WHERE evidence_text <> '' GROUP BY ALL), j AS (SELECT src, rel, dst, string_agg(evidence_text, E'\n---\n' ORDER BY s) AS evidence FROM t GROUP BY ALL)
-SELECT src, rel, dst, weight, n, status, md5(coalesce(evidence, '')) AS evidence FROM b LEFT JOIN j USING (src, rel, dst)""")
+_FOLD = lambda c: f"""{c}_t AS (SELECT src, rel, dst, {c} AS t, row_number() OVER (PARTITION BY src, rel, dst ORDER BY min(seq)) AS i FROM e WHERE {c} <> '' GROUP BY src, rel, dst, {c}),
+{c}_r AS (SELECT src, rel, dst, i, t AS a FROM {c}_t WHERE i = 1 UNION ALL SELECT r.src, r.rel, r.dst, t.i, CASE WHEN contains(r.a, t.t) THEN r.a ELSE r.a || E'\\n---\\n' || t.t END FROM {c}_r r JOIN {c}_t t ON t.src = r.src AND t.rel = r.rel AND t.dst = r.dst AND t.i = r.i + 1),
+{c}_j AS (SELECT src, rel, dst, arg_max(a, i) AS a FROM {c}_r GROUP BY src, rel, dst)"""
+
+
+@query(f"""WITH RECURSIVE {_E}, b AS (SELECT src, rel, dst, round(sum(coalesce(confidence, 0)), 5) AS weight, count(*) AS n, coalesce(min_by(status, seq) FILTER (status <> ''), '') AS status, list_sort(list(DISTINCT chunk_id) FILTER (chunk_id <> '')) AS ids FROM e GROUP BY ALL),
+{_FOLD("evidence_text")}, {_FOLD("condition")}
+SELECT src, rel, dst, weight, n, status, md5(coalesce(x.a, '')) AS evidence, coalesce(y.a, '') AS condition, coalesce(array_to_string(ids, '|'), '') AS chunk_ids FROM b LEFT JOIN evidence_text_j x USING (src, rel, dst) LEFT JOIN condition_j y USING (src, rel, dst)""")
 def edge_merge(s, d):
     x = store.merge_edges(_edges(s, d).withColumn("weight", F.col("confidence")))
-    return x.select("src", "rel", "dst", F.round("weight", 5).alias("weight"), "n", "status", F.md5("evidence_text").alias("evidence"))
+    return x.select("src", "rel", "dst", F.round("weight", 5).alias("weight"), "n", "status", F.md5("evidence_text").alias("evidence"), "condition", joined("chunk_ids").alias("chunk_ids"))
 
 
 @query("SELECT s_suppkey, count(DISTINCT l_partkey) AS n_parts FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey ORDER BY n_parts DESC, s_suppkey LIMIT 10")
@@ -440,9 +468,9 @@ def topk_per_key(s, d):
     return c.withColumn("r", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("n"), "l_partkey"))).where("r <= 3")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks)")
 def optional_match_anti(s, d):
-    return T(s, d, "customer").join(T(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return T(s, d, "documents").join(T(s, d, "chunks"), "doc_id", "left_anti").select("doc_id")
 
 
 # Vectors and retrieval
@@ -550,12 +578,14 @@ def select_final(s, d):
     return solver.select(_edges(s, d)).select("seq", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_E}, x AS (SELECT *, {_SC} AS score FROM e), b AS (SELECT lower(src) AS s, rel, lower(dst) AS d, arg_max(seq, (score, -seq)) AS best FROM x GROUP BY ALL)
-SELECT b.best AS seq, round(any_value(coalesce(x.confidence, 0)) FILTER (x.seq = b.best) + sum(CASE WHEN x.seq > b.best THEN 0.1 * coalesce(x.confidence, 0) ELSE 0 END), 6) AS confidence FROM b JOIN x ON lower(x.src) = b.s AND x.rel = b.rel AND lower(x.dst) = b.d GROUP BY b.best""")
+@query(f"""WITH RECURSIVE {_E}, x AS (SELECT seq, lower(src) AS s, rel, lower(dst) AS d, coalesce(confidence, 0) AS c, {_SC} AS f, row_number() OVER (PARTITION BY lower(src), rel, lower(dst) ORDER BY seq) AS i FROM e),
+r AS (SELECT s, rel, d, i, seq AS w, CAST(f AS DOUBLE) AS k, CAST(c AS DOUBLE) AS c FROM x WHERE i = 1 UNION ALL
+ SELECT r.s, r.rel, r.d, x.i, CASE WHEN x.f > r.k THEN x.seq ELSE r.w END, (CASE WHEN x.f > r.k THEN x.f ELSE r.k END) + 0.03 * x.c, (CASE WHEN x.f > r.k THEN x.c ELSE r.c END) + 0.1 * x.c FROM r JOIN x ON x.s = r.s AND x.rel = r.rel AND x.d = r.d AND x.i = r.i + 1)
+SELECT w AS seq, round(c, 6) AS confidence, round(k, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY s, rel, d ORDER BY i DESC) AS z FROM r) WHERE z = 1""")
 def dedup_fold(s, d):
     x = _edges(s, d)
     x = x.withColumn("score", solver.final_score(F.col("evidence_score"), F.col("schema_fit_score"), F.col("confidence")))
-    return solver.fold_duplicates(x).select("seq", F.round("confidence", 6).alias("confidence"))
+    return solver.fold_duplicates(x).select("seq", F.round("confidence", 6).alias("confidence"), F.round("score", 6).alias("score"))
 
 
 _SIG = ", ".join(f"('{r}', {list(a)!r}::VARCHAR[], {list(b)!r}::VARCHAR[])" for r, (_, a, b) in DEFAULT.relations.items())
@@ -568,16 +598,22 @@ def _rule_sql(r):
     return f"({own} AND ({bad}){' AND trim(evidence_text) <> %s' % repr('') if r.blank else ''})"
 
 
-@query(f"""WITH {_CE}, {_K}, sig(rel, st, dt) AS (VALUES {_SIG}), t AS (SELECT id AS _i, canonical_name AS name, base_types FROM kg_entities WHERE canonical_name IS NOT NULL),
+_WEIGHT = "CASE WHEN len(string_split_regex(trim({0}), '\\s+')) >= 2 THEN 2 ELSE 0 END + CASE WHEN regexp_matches({0}, 'network|laboratory|medical|clinic|diagnostics') THEN 2 ELSE 0 END + CASE WHEN strlen({0}) > 12 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {_CE}, {_E}, k AS (SELECT * REPLACE (CASE WHEN rel = 'CLOSE_TO' THEN 'ALIAS_OF' ELSE {_OWNSQL} END AS rel) FROM e), sig(rel, st, dt) AS (VALUES {_SIG}), t AS (SELECT id AS _i, canonical_name AS name, base_types FROM kg_entities WHERE canonical_name IS NOT NULL),
 n AS (SELECT name, list_sort(list_distinct(flatten(list(coalesce(base_types, []))))) AS ty FROM t GROUP BY name)
-SELECT k.seq, CASE WHEN regexp_matches(lower(trim(k.src)), '{tx.RAW_TEMPORAL}') OR regexp_matches(lower(trim(k.dst)), '{tx.RAW_TEMPORAL}') THEN 'raw_value' WHEN k.src IN (SELECT alias FROM am) OR k.dst IN (SELECT alias FROM am) THEN 'alias_end'
+SELECT k.seq, CASE WHEN regexp_matches(lower(trim(k.src)), '{tx.RAW_TEMPORAL}') OR regexp_matches(lower(trim(k.dst)), '{tx.RAW_TEMPORAL}') THEN 'raw_value' WHEN k.rel <> 'ALIAS_OF' AND (k.src IN (SELECT alias FROM am) OR k.dst IN (SELECT alias FROM am)) THEN 'alias_end'
+ WHEN k.rel = 'ALIAS_OF' AND a.ty IS NOT NULL AND b.ty IS NOT NULL AND (NOT list_has_any(a.ty, b.ty) OR k.dst IN {_GEN}) THEN 'alias_types'
+ WHEN k.rel = 'ALIAS_OF' AND (k.src IN {_GEN} OR {_WEIGHT.format('k.src')} > {_WEIGHT.format('k.dst')}) THEN 'alias_direction'
  WHEN {" OR ".join(_rule_sql(r) for r in solver.EVIDENCE)} THEN 'evidence' WHEN sig.rel IS NULL THEN 'unknown_relation'
  WHEN (a.ty IS NOT NULL AND len(st) > 0 AND NOT list_has_any(a.ty, st)) OR (b.ty IS NOT NULL AND len(dt) > 0 AND NOT list_has_any(b.ty, dt)) THEN 'signature' ELSE 'keep' END AS verdict
 FROM k LEFT JOIN sig ON sig.rel = k.rel LEFT JOIN n a ON a.name = k.src LEFT JOIN n b ON b.name = k.dst""")
 def constraint_verdicts(s, d):
     ents = T(s, d, "kg_entities").where("canonical_name is not null").select(F.col("canonical_name").alias("name"), F.explode_outer("base_types").alias("t"))
     ents = ents.groupBy("name").agg(F.collect_set("t").alias("base_types"))
-    return solver.verdicts(_known(_edges(s, d)), ents, resolve.alias_map(_cands(s, d))).select("seq", "verdict")
+    e = _known(_edges(s, d)).withColumn("rel", F.when(F.col("rel") == "CLOSE_TO", "ALIAS_OF").otherwise(F.col("rel")))
+    return solver.verdicts(e, ents, resolve.alias_map(_cands(s, d))).select("seq", "verdict")
 
 
 @query(f"""WITH {_CE}, {_K}, n AS (SELECT DISTINCT src AS name FROM kg_edges UNION SELECT dst FROM kg_edges)
