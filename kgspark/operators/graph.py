@@ -94,6 +94,26 @@ def cooccurrence(members: DataFrame, chunk: str, name: str, most: int = 20, leas
     return x.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def per_relation(edges: DataFrame) -> DataFrame:
+    """(rel, n, n_conditions, n_evidence): how many edges each relation has, and how many of them say something more; one pass."""
+    return edges.groupBy("rel").agg(F.count("*").alias("n"), F.count(F.when(F.col("condition") != "", 1)).alias("n_conditions"), F.count(F.when(F.size("evidence") > 0, 1)).alias("n_evidence"))
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """With ``place``, the row's number in ``order`` from 1: rows are sorted in ranges, and a range begins after the rows of those before it."""
+    from kgspark.lineage import cut
+
+    x = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = {r["p"]: r["n"] for r in x.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one number for each range
+    begin, rows = 0, []
+    for p in sorted(sizes):
+        rows.append((p, begin))
+        begin += sizes[p]
+    starts = df.sparkSession.createDataFrame(rows, "_p long, _begin long")
+    return x.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn("place", F.col("_begin") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_begin", "_id")
+
+
 def hubs(edges: DataFrame, least: int = 2) -> DataFrame:
     """(dst, n_sources): nodes with at least ``least`` different sources."""
     return edges.groupBy("dst").agg(F.countDistinct("src").alias("n_sources")).where(F.col("n_sources") >= least)

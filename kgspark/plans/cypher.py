@@ -300,6 +300,13 @@ class Compiler:
             e = e.where(F.col(f"{var}.type") != CHUNK) if set(labels) & set(EVERY) else e
         cond = [F.col(f"{var}.type") == x for x in labels if x not in EVERY] + [F.col(f"{var}.{k}") == v for k, v in props.items()]
         # conditions that speak of other variables wait for the join
+        if df is not None and not key and not st.nodes | st.rels:
+            # rows of an UNWIND only: a list of the statement, so every node meets each of its items
+            out = e.crossJoin(F.broadcast(df))
+            for c in cond:
+                out = out.where(c)
+            st.nodes.add(var)
+            return out.drop(f"_k_{var}")
         if df is not None and not key:
             key = self._joined_by(st, var, props)
         out = e if df is None else df.join(e, key == F.col(f"_k_{var}")) if isinstance(key, Column) else df.join(e, F.col(key) == F.col(f"_k_{var}"))

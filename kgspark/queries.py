@@ -735,3 +735,6 @@ def asof_last_event(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") == "purchase", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     x = e.withColumn("last_click", F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w))
     return x.where("event_type = 'purchase'").select("event_id", "last_click")
+
+
+from kgspark import more_queries  # noqa: E402, F401  (adds to the registry)
