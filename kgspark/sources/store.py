@@ -6,10 +6,12 @@ leaves the old version current. Upserts are keyed merges of the old and the new
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = ("documents", "chunks", "entities", "edges", "mentions", "aliases", "schema_types", "schema_relations", "chunk_tokens", "entity_tokens")
 #: Fixed value: what stands between the joined texts of one edge.
@@ -33,11 +35,14 @@ class Store:
                 best = max(best, int(s.getPath().getName()))
         return best
 
+    def _entries(self, version: int) -> dict[str, tuple[int, str]]:
+        """Table -> (the version that wrote it, its schema as JSON)."""
+        lines = self._lines(f"{self.root}/_committed/{version}") if version else []
+        return {r[0]: (int(r[1]), r[2]) for r in (line.split(" ", 2) for line in lines) if len(r) == 3}
+
     def _manifest(self, version: int) -> dict[str, int]:
         """Table -> the version that wrote it."""
-        if not version:
-            return {}
-        return {r[0]: int(r[1]) for r in (line.split() for line in self._lines(f"{self.root}/_committed/{version}")) if r}
+        return {k: v for k, (v, _) in self._entries(version).items()}
 
     def _lines(self, path: str) -> list[str]:
         stream = self.fs.open(self._path(path))
@@ -47,25 +52,26 @@ class Store:
             stream.close()
 
     def read(self, name: str) -> DataFrame | None:
-        v = self._manifest(self.current()).get(name)
-        return self.spark.read.parquet(f"{self.root}/v{v}/{name}") if v else None
+        v, schema = self._entries(self.current()).get(name, (0, ""))
+        # with its schema, an empty table is one too
+        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{self.root}/v{v}/{name}") if v else None
 
     def commit(self, tables: dict[str, DataFrame], before_swap: Callable[[], None] | None = None) -> int:
         """Writes ``tables`` as a new version; the others stay where they are. The manifest, written last and whole, makes it current."""
         new = self.current() + 1
-        where = self._manifest(new - 1)
+        where = self._entries(new - 1)
         self.fs.delete(self._path(f"{self.root}/v{new}"), True)  # what an earlier crash left
         for name, df in tables.items():
             if name not in TABLES:
                 raise ValueError(f"no table {name}")
             (df.write.partitionBy("rel") if name == "edges" else df.write).parquet(f"{self.root}/v{new}/{name}")
-            where[name] = new
+            where[name] = (new, df.schema.json())
         if before_swap:
             before_swap()
         self.fs.mkdirs(self._path(f"{self.root}/_committed"))
         draft, final = self._path(f"{self.root}/_draft-{new}"), self._path(f"{self.root}/_committed/{new}")
         out = self.fs.create(draft, True)
-        out.write("".join(f"{k} {v}\n" for k, v in sorted(where.items())).encode())
+        out.write("".join(f"{k} {v} {schema}\n" for k, (v, schema) in sorted(where.items())).encode())
         out.close()
         if not self.fs.rename(draft, final):
             raise RuntimeError(f"version {new} was committed by another writer")
