@@ -10,9 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only for a local master without the setting."""
@@ -35,9 +39,23 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kgspark_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes inside are deleted at the end, when what they were for has been written."""
+    mine: list[DataFrame] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        drop(*mine)
+
+
 def drop(*frames: DataFrame | None) -> None:
     """Deletes tables made by ``cut`` that nothing needs any more."""
     for df in frames:

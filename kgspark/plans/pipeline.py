@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as tx
 from kgspark.functions.vector import top_k
-from kgspark.lineage import cut
+from kgspark.lineage import cut, scope
 from kgspark.ontology import DEFAULT, Ontology
 from kgspark.operators import chunking, extraction, graph, resolve, retrieval, rewrite, solver
 from kgspark.plans import cypher, prompts
@@ -178,6 +178,10 @@ class Pipeline:
 
     def ingest(self, docs: DataFrame) -> int:
         """Number of the version that holds the new and changed documents too; the current one if nothing has changed."""
+        with scope(self.spark):
+            return self._ingest(docs)
+
+    def _ingest(self, docs: DataFrame) -> int:
         t = self.telemetry
         with t.phase("changed"):
             new = cut(changed(docs, self.store.read("documents")))
@@ -241,13 +245,20 @@ class Pipeline:
 
     def apply_changes(self, changes: DataFrame) -> int:
         """A batch of changes (doc_id, content, op 'delete' or 'upsert'): deletes first, then the rest. Fit for foreachBatch."""
-        changes = cut(changes)
+        with scope(self.spark):
+            return self._applied(cut(changes))
+
+    def _applied(self, changes: DataFrame) -> int:
         self.delete_all(changes.where("op = 'delete'").select("doc_id").distinct())
         up = changes.where("op = 'upsert'").select("doc_id", F.col("doc_id").alias("path"), "content", loaders.content_hash(F.col("content")).alias("content_hash"), F.create_map(F.lit("type"), F.lit("change")).alias("metadata"))
         return self.ingest(up)
 
     def finalize(self) -> int:
         """Makes names one that differ by case or blanks, then those whose vectors are alike; all that refers to them moves; then missing vectors are made."""
+        with scope(self.spark):
+            return self._finalized()
+
+    def _finalized(self) -> int:
         ents = self.store.read("entities")
         if ents is None or self.store.read("edges") is None:
             return self.store.current()
@@ -264,9 +275,12 @@ class Pipeline:
 
     def _merge(self, same: DataFrame) -> None:
         """Every table with names that have merged (name, survivor) moved to the survivor."""
-        same = cut(same)
-        if same.isEmpty():
-            return
+        with scope(self.spark):
+            same = cut(same)
+            if not same.isEmpty():
+                self._move(same)
+
+    def _move(self, same: DataFrame) -> None:
         read = self.store.read
         gone = same.where("name != survivor")
         to = lambda df, col: df.join(gone.select(F.col("name").alias(col), "survivor"), col, "left").withColumn(col, F.coalesce("survivor", col)).drop("survivor")
@@ -309,6 +323,10 @@ class Pipeline:
         """Facts, entities and their neighbourhood for a question; ``human`` adds an answer in words, else the text is the context."""
         if self.store.read("entities") is None:
             return Answer("Nothing is stored yet.")
+        with scope(self.spark):
+            return self._asked(question, human)
+
+    def _asked(self, question: str, human: bool) -> Answer:
         flags = self.spark.createDataFrame([(question,)], "q string")
         row = flags.select(tx.keywords(F.col("q")).alias("k"), tx.answer_hint(F.col("q")).alias("h"), tx.looked_up_name(F.col("q")).alias("n"), tx.wants_analysis(F.col("q")).alias("count"), tx.wants_all(F.col("q")).alias("all")).first()
         if row["count"]:

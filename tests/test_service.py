@@ -288,3 +288,17 @@ def test_command_line(pipe, capsys, tmp_path):
     with pytest.raises(SystemExit):
         run("nothing")
     assert len(cli.COMMANDS) == 11 and RuleProvider().complete(prompts.SAME, "") == "NO"
+
+
+def test_intermediate_tables_go(spark, tmp_path):
+    import os
+
+    from kgspark import lineage
+
+    folder = lineage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    p = Pipeline(spark, str(tmp_path / "t"))
+    p.ingest_text(TEXT, "one")
+    p.query("Who works at Haifa Clinic Group?")
+    p.finalize()
+    assert set(os.listdir(folder)) == before
