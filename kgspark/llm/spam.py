@@ -20,7 +20,9 @@ is kept in a table. What every task gets is bounded: words in at least ``WORD_SH
 documents and pairs in at least ``PAIR_SHARE`` (a share has at most 1/share times the words of a
 document), at most ``MOST_WORDS`` and ``MOST_PAIRS`` of them. The rarer pairs are joined to the
 documents that have them, so that no value depends on these limits. A pair that only one
-document has was never met.
+document has was never met. Words are known by 32 bits of a hash: of V different words, each
+shares its number with another with the probability V / 2^32 (one in 430 for ten million words), and
+then has the counts of both.
 
 Defined results: null and blank texts score 0; texts of fewer than three words are judged by
 their links alone; repeated texts count as documents of their own; an empty table gives no rows.
