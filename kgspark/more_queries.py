@@ -386,6 +386,32 @@ def cypher_unwind(s, d):
     return _cypher(s, d, "UNWIND $rels AS nm MATCH (a)-[r]->(b) WHERE type(r) = nm RETURN nm, count(*) AS n", rels=["RUNS_SITE", "LEADS_TEAM", "NO_SUCH"])
 
 
+def _written(s, d, text, **params):
+    from kgspark.plans.cypher_write import update
+
+    ents = T(s, d, "kg_entities").where("canonical_name is not null").select(F.col("canonical_name").alias("name"), F.coalesce(F.try_element_at("base_types", F.lit(1)), F.lit("concept")).alias("type"))
+    return update(ents.groupBy("name").agg(F.min("type").alias("type")), T(s, d, "kg_edges").groupBy("src", "rel", "dst").agg(F.sum("weight").alias("weight")), text, params)
+
+
+@query(f"""WITH n AS ({_ENT}), g AS (SELECT src, rel, dst, sum(weight) AS weight FROM kg_edges GROUP BY ALL)
+SELECT name, type, CASE WHEN type = 'organization' AND contains(name, 'clinic') THEN 'clinic' END AS kind FROM n""")
+def cypher_set(s, d):
+    return _written(s, d, "MATCH (n:organization) WHERE n.name CONTAINS 'clinic' SET n.kind = 'clinic'")[0]
+
+
+@query(f"""WITH n AS ({_ENT}), g AS (SELECT src, rel, dst, sum(weight) AS weight FROM kg_edges GROUP BY ALL), r AS (SELECT DISTINCT src, dst FROM g JOIN n a ON a.name = src JOIN n b ON b.name = dst WHERE rel = 'RUNS_SITE')
+SELECT src, rel, dst, round(coalesce(weight, 0) + extra, 6) AS weight FROM (SELECT g.src, g.rel, g.dst, g.weight, CASE WHEN g.rel = 'SUBUNIT_OF' AND (g.dst, g.src) IN (SELECT (src, dst) FROM r) THEN 0.5 ELSE 0 END AS extra FROM g
+ UNION ALL SELECT dst, 'SUBUNIT_OF', src, 1.0, 0 FROM r WHERE (dst, src) NOT IN (SELECT (src, dst) FROM g WHERE rel = 'SUBUNIT_OF'))""")
+def cypher_merge(s, d):
+    e = _written(s, d, "MATCH (a)-[:RUNS_SITE]->(b) MERGE (b)-[r:SUBUNIT_OF]->(a) ON CREATE SET r.weight = 1.0 ON MATCH SET r.weight = r.weight + 0.5")[1]
+    return e.select("src", "rel", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query(f"""WITH n AS ({_ENT}), p AS (SELECT name FROM n WHERE type = 'event') SELECT src, rel, dst FROM kg_edges WHERE src NOT IN (FROM p) AND dst NOT IN (FROM p) GROUP BY ALL""")
+def cypher_delete(s, d):
+    return _written(s, d, "MATCH (n:event) DETACH DELETE n")[1].select("src", "rel", "dst")
+
+
 # Aggregates, sets, windows
 
 

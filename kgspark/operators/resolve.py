@@ -103,11 +103,12 @@ def canonical_entities(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     lists = lists.select("name", values("b").alias("base_types"), values("d").alias("domain_types"), values("r").alias("functional_roles"))
     one = flat.groupBy("name").agg(
         F.min_by(F.when(F.col("known"), F.col("status")), F.when(F.col("known"), F.col("seq"))).alias("status"),
-        F.array_distinct(F.flatten(F.collect_set("a"))).alias("aliases"),
         F.sum(F.size(F.coalesce("evidence", F.array().cast(flat.schema["evidence"].dataType)))).alias("n_evidence"),
         F.count("*").alias("n"),
     )
-    out = one.join(lists, "name", "left")
+    al = flat.select("name", "seq", F.posexplode("a").alias("i", "v")).groupBy("name", "v").agg(F.min(F.struct("seq", "i")).alias("at"))
+    al = al.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s.v).alias("aliases"))
+    out = one.join(lists, "name", "left").join(al, "name", "left").withColumn("aliases", F.coalesce("aliases", langs.cast(flat.schema["a"].dataType)))
     base = F.when(F.size(F.coalesce("base_types", strings)) > 0, F.col("base_types")).otherwise(F.array(F.lit("concept")))
     return out.select("name", base.alias("base_types"), F.coalesce("domain_types", strings).alias("domain_types"), F.coalesce("functional_roles", strings).alias("functional_roles"), F.coalesce("status", F.lit("")).alias("status"), "aliases", F.col("n_evidence"), "n")
 

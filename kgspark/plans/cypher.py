@@ -16,6 +16,7 @@ db.idx.vector.queryRelationships; scores fall, a vector's being its cosine and a
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -65,6 +66,17 @@ class Compiler:
     def run(self, text: str) -> DataFrame:
         if not is_read_only(text):
             raise Unsupported("only statements that read are accepted")
+        self._tokens(text)
+        out = self._query()
+        while self._word("UNION"):
+            keep = self._word("ALL")
+            out = out.union(self._query())
+            out = out if keep else out.distinct()
+        if self.i < len(self.toks):
+            raise Unsupported(f"unexpected: {self.toks[self.i][1]}")
+        return out
+
+    def _tokens(self, text: str) -> None:
         self.toks, self.i = [], 0
         at = 0
         while at < len(text):
@@ -74,14 +86,6 @@ class Compiler:
             at = m.end()
             if m.lastgroup:
                 self.toks.append((m.lastgroup, m.group()))
-        out = self._query()
-        while self._word("UNION"):
-            keep = self._word("ALL")
-            out = out.union(self._query())
-            out = out if keep else out.distinct()
-        if self.i < len(self.toks):
-            raise Unsupported(f"unexpected: {self.toks[self.i][1]}")
-        return out
 
     # tokens
     def _peek(self, k: int = 0) -> str:
@@ -608,7 +612,7 @@ class Compiler:
         if kind == "param":
             if t[1:] not in self.params:
                 raise Unsupported(f"no parameter {t}")
-            return F.lit(self.params[t[1:]])
+            return _parameter(self.params[t[1:]])
         if t == "(":
             c = self._expr(st)
             self._need(")")
@@ -688,6 +692,14 @@ class Compiler:
         raise Unsupported(f"unknown function {name}")
 
 
+def _parameter(v) -> Column:
+    """A parameter as a literal; maps, and lists of them, by way of JSON."""
+    if isinstance(v, dict) or isinstance(v, (list, tuple)) and any(isinstance(x, dict) for x in v):
+        text = json.dumps(v)
+        return F.from_json(F.lit(text), F.schema_of_json(F.lit(text)))
+    return F.lit(v)
+
+
 def query(entities: DataFrame, edges: DataFrame, text: str, params: dict | None = None, chunks: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """The rows of a statement; entities: (name, type, ...), edges: (src, rel, dst, ...); chunks and mentions for the procedures that search them."""
     return Compiler(entities, edges, params, chunks, mentions).run(text)

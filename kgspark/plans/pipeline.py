@@ -319,6 +319,49 @@ class Pipeline:
             raise ValueError("nothing is stored yet")
         return cypher.query(self.store.read("entities"), self.store.read("edges"), text, params, self.store.read("chunks"), self.store.read("mentions"))
 
+    def change(self, text: str, params: dict | None = None) -> int:
+        """Stores what a statement that changes the graph makes of it; derived texts and vectors follow with ``finalize``."""
+        from kgspark.plans.cypher_write import update
+
+        ents, edges = self.store.read("entities"), self.store.read("edges")
+        if ents is None:
+            raise ValueError("nothing is stored yet")
+        with scope(self.spark):
+            new, rows = update(ents, edges, text, params)
+            new, rows = cut(new), cut(rows)
+            # a name that is a node's only is found by words too
+            return self.store.commit({"entities": new, "edges": rows, "entity_tokens": retrieval.token_table(new, "name", "name")})
+
+    def create_entity(self, name: str, kind: str = "concept", **props) -> int:
+        """One node: made, or its type and properties set."""
+        sets = "".join(f", n.{k} = ${k}" for k in props)
+        return self.change("MERGE (n {name: $name}) SET n.type = $kind" + sets, {"name": name.strip().lower(), "kind": kind, **props})
+
+    def create_edge(self, src: str, rel: str, dst: str, weight: float = 1.0, chunk_ids: list[str] | None = None, evidence: str = "", status: str = "", condition: str = "") -> int:
+        """One relation, a self-loop left out: with the stored one weights add up, chunk ids unite and texts join."""
+        a, b = src.strip().lower(), dst.strip().lower()
+        if a == b or not a or not b:
+            return self.store.current()
+        ents, edges = self.store.read("entities"), self.store.read("edges")
+        if ents is None:
+            raise ValueError("nothing is stored yet")
+        row = self.spark.createDataFrame([(a, rel, b, float(weight), 1, chunk_ids or [], status, condition, evidence)], "src string, rel string, dst string, weight double, n long, chunk_ids array<string>, status string, condition string, evidence_text string")
+        row = row.withColumn("fact", graph.fact(evidence="evidence_text"))
+        none = [c for c in edges.columns if c not in row.columns]
+        row = row.select("*", *[F.lit(None).cast(dict(edges.dtypes)[c]).alias(c) for c in none]).select(*edges.columns)
+        ends = self.spark.createDataFrame([(a,), (b,)], "name string").join(ents.select("name"), "name", "left_anti").withColumn("type", F.lit("concept"))
+        with scope(self.spark):
+            both = cut(merge_edge_rows(edges.withColumn("version", F.lit(0)).unionByName(row.withColumn("version", F.lit(1)))))
+            new = cut(ents.unionByName(ends, allowMissingColumns=True))
+            return self.store.commit({"entities": new, "edges": both, "entity_tokens": retrieval.token_table(new, "name", "name")})
+
+    def save_schema(self, types: DataFrame, relations: DataFrame) -> int:
+        """Stores the registries of types (name, description, parent, bases) and relations (name, ..., src_types, dst_types)."""
+        return self.store.commit({"schema_types": types, "schema_relations": relations})
+
+    def load_schema(self) -> tuple[DataFrame | None, DataFrame | None]:
+        return self.store.read("schema_types"), self.store.read("schema_relations")
+
     def query(self, question: str, human: bool = False) -> Answer:
         """Facts, entities and their neighbourhood for a question; ``human`` adds an answer in words, else the text is the context."""
         if self.store.read("entities") is None:

@@ -107,12 +107,17 @@ def _parsed(kind: str):
 
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(documents, errors) of a folder, subfolders included; documents: doc_id, path, content, content_hash, metadata."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.select("path", "content").withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).where(F.col("ext").isin(*EXTENSIONS))
+
+    def files(*kinds: str) -> DataFrame:
+        """Files of some kinds, each read once, in any case of letters."""
+        anyhow = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in kinds)
+        x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{anyhow}}}").load(folder)
+        return x.select("path", "content").withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+
     parts = []
     for kind in ("csv", "pdf"):
-        parts.append(files.where(F.col("ext") == kind).select("path", "content").mapInPandas(_parsed(kind), "path string, content string, more map<string,string>, error string"))
-    text = files.where(~F.col("ext").isin("csv", "pdf")).withColumn("raw", F.decode("content", "UTF-8"))
+        parts.append(files(kind).select("path", "content").mapInPandas(_parsed(kind), "path string, content string, more map<string,string>, error string"))
+    text = files(*[k for k in EXTENSIONS if k not in ("csv", "pdf")]).withColumn("raw", F.decode("content", "UTF-8"))
     page = F.col("ext").isin("html", "htm")
     more = (
         F.when(page, F.create_map(F.lit("title"), html_title(F.col("raw"))))

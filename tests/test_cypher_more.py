@@ -48,3 +48,23 @@ def test_patterns_apart(g):
     assert sorted(g("MATCH (a:person), (b) WHERE b.name = a.name RETURN a.name AS a, b.type AS t")) == [("ann", "person"), ("bob", "person")]
     with pytest.raises(cypher.Unsupported):
         g("MATCH (a), (b) RETURN a.name, b.name")
+
+
+def test_writes(spark):
+    from kgspark.plans.cypher_write import update
+
+    ents = spark.createDataFrame([("ann", "person"), ("lab", "organization")], "name string, type string")
+    e = spark.createDataFrame([("ann", "WORKS", "lab", 1.0)], "src string, rel string, dst string, weight double")
+    go = lambda t, **p: tuple(sorted(map(tuple, df.collect()), key=str) for df in update(ents, e, t, p))
+    assert go("MERGE (n:person {name: 'bob'}) ON CREATE SET n.age = 3 ON MATCH SET n.age = 4")[0] == [("ann", "person", None), ("bob", "person", 3), ("lab", "organization", None)]
+    assert go("MERGE (n {name: 'ann'}) ON CREATE SET n.age = 3 ON MATCH SET n.age = 4")[0][0] == ("ann", "person", 4)
+    nodes, rels = go("UNWIND $rows AS row MERGE (a {name: row.a}) MERGE (b:place {name: row.b}) MERGE (a)-[r:VISITS]->(b) ON CREATE SET r.weight = row.w", rows=[{"a": "ann", "b": "park", "w": 2.0}, {"a": "eve", "b": "park", "w": 3.0}, {"a": None, "b": "x", "w": 1.0}])
+    assert {x[0] for x in nodes} == {"ann", "eve", "lab", "park"} and ("ann", "VISITS", "park", 2.0) in rels and ("eve", "VISITS", "park", 3.0) in rels and len(rels) == 3
+    assert go("MATCH (a {name: 'ann'}), (b {name: 'lab'}) MERGE (a)-[r:WORKS]->(b) ON CREATE SET r.weight = 9 ON MATCH SET r.weight = r.weight + 1")[1] == [("ann", "WORKS", "lab", 2.0)]
+    assert go("MATCH (n:person) SET n += {type: 'human', note: 'x'}")[0][0] == ("ann", "human", "x")
+    assert go("MATCH (n:person) REMOVE n.type")[0][0] == ("ann", None)
+    assert go("MATCH (a)-[r:WORKS]->(b) DELETE r")[1] == []
+    assert go("MATCH (n {name: 'ann'}) DETACH DELETE n") == ([("lab", "organization")], [])
+    for bad in ("MATCH (n {name: 'ann'}) DELETE n", "MATCH (n) RETURN n.name", "MERGE (n {age: 1})", "MATCH (n) SET n.name = 'x'", "MATCH (a)-[r]-(b) MERGE (a)-[:X]-(b)"):
+        with pytest.raises(cypher.Unsupported):
+            go(bad)

@@ -302,3 +302,29 @@ def test_intermediate_tables_go(spark, tmp_path):
     p.query("Who works at Haifa Clinic Group?")
     p.finalize()
     assert set(os.listdir(folder)) == before
+
+
+def test_single_rows_and_schema(spark, pipe, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "one"))
+    with pytest.raises(ValueError):
+        p.create_edge("a", "R", "b")
+    p.ingest_text(TEXT, "one")
+    old = p.store.read("edges").where("rel = 'VISITS'").first()
+    p.create_entity(" New Place ", "location")
+    p.create_edge("Omar Nasser", "VISITS", "Cedar Medical Group", 2.0, ["c9"], "said again")
+    p.create_edge("omar nasser", "NEAR", "new place")
+    v = p.store.current()
+    assert p.create_edge("x", "R", "X ") == v
+    e = {(r["rel"]): r for r in p.store.read("edges").where("src = 'omar nasser'").collect()}
+    r = e["VISITS"]
+    assert r["weight"] == pytest.approx(old["weight"] + 2) and set(r["chunk_ids"]) == {*old["chunk_ids"], "c9"} and r["evidence_text"].endswith("\n---\nsaid again") and r["embedding"] == old["embedding"]
+    assert e["NEAR"]["dst"] == "new place" and p.store.read("entities").where("name = 'new place'").first()["type"] == "location"
+    p.finalize()
+    assert p.store.read("entities").where("embedding is null").count() == 0 and p.store.read("edges").where("embedding is null").count() == 0
+    from kgspark.operators import governance
+
+    types = governance.base_types(spark, [("person", "someone")])
+    rel = p.config.ontology.signatures(spark)
+    p.save_schema(types, rel)
+    t, r = p.load_schema()
+    assert t.count() == 1 and r.count() == rel.count() and pipe.load_schema() == (None, None)
