@@ -24,6 +24,11 @@ s AS (SELECT item_kind, item_id,
 SELECT item_kind, item_id, CASE WHEN longest <= 1500 THEN 'sentence' WHEN word <= 1500 THEN 'word' ELSE 'none' END AS boundary FROM s
 """
 
+P2_TEXT = """
+SELECT 'document' AS item_kind, CAST(doc_id AS VARCHAR) AS item_id, md5(text) AS text_hash FROM documents WHERE length(text) > 1500
+UNION ALL SELECT 'chunk', chunk_id, md5(text) FROM chunks WHERE length(text) > 1500
+"""
+
 P4_FOUND = r"""
 WITH RECURSIVE n AS (
   SELECT lower(trim(a, E' \t\r\n')) AS x, lower(trim(b, E' \t\r\n')) AS y FROM merge_pairs WHERE sim >= 0.95 AND NOT isnan(sim)),
@@ -34,4 +39,4 @@ SELECT x AS entity_name, min(g) AS group_id FROM r GROUP BY x
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_text": P2_TEXT, "p4_found": P4_FOUND}

@@ -26,6 +26,13 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(split.oversized(table(spark, d, "chunks"), "chunk", "chunk_id"))
 
 
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the pieces give when their own parts are joined."""
+    own = F.struct("piece_no", F.expr("substring(piece, own_start + 1)").alias("own"))
+    x = p2_pieces(spark, d).groupBy("item_kind", "item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda p: p.own), "").alias("t"))
+    return x.select("item_kind", "item_id", F.md5("t").alias("text_hash"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("piece_no = 0").select("item_kind", "item_id", "boundary")
 
@@ -125,5 +132,5 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_fusion, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_segments, p6_found, p6_unmatched, p7_found, p8_found, p8_spans, p8_clean, p9_found, p9_shares, p9_mix, p10_found, p10_scores)
+    found = (p1_found, p1_fusion, p2_found, p2_pieces, p2_text, p3_found, p3_neighbours, p4_found, p5_found, p5_segments, p6_found, p6_unmatched, p7_found, p8_found, p8_spans, p8_clean, p9_found, p9_shares, p9_mix, p10_found, p10_scores)
     return {f.__name__: f for f in found}
