@@ -453,3 +453,38 @@ def semi_join(s, d):
 def labels(s, d):
     x = T(s, d, "candidate_entities").where("mention is not null").select("seq", "mention").distinct()
     return x.select("seq", tx.pascal_label(F.col("mention")).alias("label"), tx.relation_label(F.col("mention")).alias("rel"))
+
+
+# Chunkers: without overlap, what the chunks hold is what the text holds, but for blanks
+
+_BARE = r"SELECT doc_id, md5(regexp_replace(text, '[\s\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g')) AS text_hash FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^\s\x{a0}]')"
+_BLANKS = r"[\s \u0085  -     　]+"
+
+
+def _rejoined(chunks):
+    x = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c.text), "").alias("t"))
+    return x.select("doc_id", F.md5(F.regexp_replace("t", _BLANKS, "")).alias("text_hash"))
+
+
+@query(_BARE)
+def chunk_recursive_text(s, d):
+    return _rejoined(chunking.chunk(T(s, d, "documents"), "recursive", 400, 0).withColumn("text", F.regexp_replace("text", r"^Context: Section = [^\n]*\n\n", "")))
+
+
+@query(_BARE)
+def chunk_sentence_text(s, d):
+    return _rejoined(chunking.chunk(T(s, d, "documents"), "sentence", 400, 0).withColumn("text", F.regexp_replace("text", r"^Context: Section = [^\n]*\n\n", "")))
+
+
+_DOC = " OR ".join(f"contains(lower(name), '{w}')" for w in resolve.DOCUMENT_SIGNS)
+
+
+@query(rf"""WITH x AS (SELECT seq, mention AS name, coalesce(list_max(list_transform(base_types, lambda t: t.score)), 0) AS top, coalesce(len(evidence), 0) AS ev, coalesce(len(functional_roles), 0) AS roles, coalesce(status, '') NOT IN ('', 'unknown') AS known FROM candidate_entities WHERE mention IS NOT NULL GROUP BY ALL)
+SELECT seq, round(3 * len(string_split_regex(name, '\s+')) + 10 * top + 2 * ev + 3 * roles + CASE WHEN known THEN 2 ELSE 0 END - CASE WHEN {_DOC} THEN 20 ELSE 0 END - CASE WHEN len(string_split_regex(name, '\s+')) = 1 AND strlen(name) <= 6 THEN 15 ELSE 0 END, 6) AS score FROM x""")
+def canonical_score(s, d):
+    x = T(s, d, "candidate_entities").where("mention is not null").dropDuplicates(["seq"])
+    none = F.array().cast("array<struct<type:string,score:double>>")
+    top = F.coalesce(F.array_max(F.transform(F.coalesce("base_types", none), lambda t: t.score)), F.lit(0.0))
+    size = lambda c: F.greatest(F.size(F.coalesce(c, F.array().cast(dict(x.dtypes)[c]))), F.lit(0))
+    score = resolve.canonical_score(F.col("mention"), top, size("evidence"), size("functional_roles"), ~F.coalesce("status", F.lit("")).isin("", "unknown"), F.lit(False))
+    return x.select("seq", F.round(score, 6).alias("score"))
