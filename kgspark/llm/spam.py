@@ -109,6 +109,22 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a.astype(np.int64) << 32) | (b.astype(np.int64) & 0xFFFFFFFF)).astype(np.int64)
 
 
+def _starts(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a new value, or combination of values, begins."""
+    if not len(sorted_[0]):
+        return np.zeros(0, bool)
+    new = np.ones(len(sorted_[0]), bool)
+    new[1:] = sorted_[0][1:] != sorted_[0][:-1]
+    for x in sorted_[1:]:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _together(p: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """An order in which equal pairs of one row lie together: by one number made of both, which sorts faster than two."""
+    return np.argsort((p ^ (p >> np.int64(31))) * np.int64(-7046029254386353131) + row * np.int64(0x2545F4914F6CDD1D))
+
+
 class _Sum:
     """Counts by key, compacted now and then, so that a task holds each key about once."""
 
@@ -121,11 +137,13 @@ class _Sum:
             self.compact()
 
     def compact(self) -> None:
-        keys, n = np.unique(np.concatenate(self.new), return_counts=True) if self.new else (self.keys[:0], self.n[:0])
+        keys = np.sort(np.concatenate(self.new)) if self.new else self.keys[:0]
+        first = np.flatnonzero(_starts(keys))
+        keys, n = keys[first], np.diff(np.concatenate([first, [len(keys)]]))
         both = np.concatenate([self.keys, keys])
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         both, n = both[order], np.concatenate([self.n, n])[order]
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        first = np.flatnonzero(_starts(both))
         self.keys, self.n, self.new = both[first], np.add.reduceat(n, first) if len(first) else n, []
 
     def frame(self) -> pd.DataFrame:
@@ -159,9 +177,9 @@ def _distinct(w: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pairs of neighbours, their rows), each pair of a row once."""
     same = row[1:] == row[:-1]
     p, r = _pairs(w[:-1], w[1:])[same], row[1:][same]
-    order = np.lexsort((p, r))
+    order = _together(p, r)
     p, r = p[order], r[order]
-    new = np.concatenate([[True], (p[1:] != p[:-1]) | (r[1:] != r[:-1])]) if len(p) else np.zeros(0, bool)
+    new = _starts(p, r)
     return p[new], r[new]
 
 
@@ -173,7 +191,8 @@ def information(scanned: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.nda
         total = _Sum()
         for pdf in batches:
             w, row = _flat(pdf["w"])
-            total.add(np.unique(_pairs(row, w)).astype(np.int64) & 0xFFFFFFFF)
+            each = np.sort(_pairs(row, w))
+            total.add(each[_starts(each)] & 0xFFFFFFFF)
         yield total.frame()
 
     counted = "key long, n long"
@@ -253,8 +272,9 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     k = np.concatenate(pdf["pk"].tolist()).astype(np.int64)
                     v = np.concatenate(pdf["pv"].tolist()).astype(np.float64)
                     # a pair has one value in all documents that have it
-                    k, first = np.unique(k, return_index=True)
-                    at, met = _find(k, pair)
+                    order = np.argsort(k)
+                    first = order[_starts(k[order])]
+                    at, met = _find(k[first], pair)
                     value[met] = v[first][at[met]]
             stuffed = _stuffed(w, row, c, len(pdf), value)
             total = np.maximum(pdf["total"].to_numpy(), 1)
@@ -277,10 +297,9 @@ def _stuffed(w: np.ndarray, row: np.ndarray, c: np.ndarray, n_rows: int, value:
     info[:-1] = np.where(follow, value, np.nan)
     # how often the document has the pair of hashes itself
     own = np.zeros(len(w))
-    order = np.lexsort((_pairs(w[:-1], w[1:]), row[:-1]))
-    p, r = _pairs(w[:-1], w[1:])[order], row[:-1][order]
-    new = np.concatenate([[True], (p[1:] != p[:-1]) | (r[1:] != r[:-1])])
-    group = np.cumsum(new) - 1
+    p, r = _pairs(w[:-1], w[1:]), row[:-1]
+    order = _together(p, r)
+    group = np.cumsum(_starts(p[order], r[order])) - 1
     own[order] = np.bincount(group)[group]
     much = (own >= np.maximum(REPEATS, REPEATS_SHARE * size[row])) & ~np.isnan(info)
     # windows: WINDOW words each, the rest of a text joining its last one
@@ -294,8 +313,8 @@ def _stuffed(w: np.ndarray, row: np.ndarray, c: np.ndarray, n_rows: int, value:
     cnt = np.bincount(g[has], minlength=k)
     mean = np.where(cnt > 0, np.bincount(g[has], weights=info[has], minlength=k) / np.maximum(cnt, 1), 0)
     rep = np.bincount(g[much], minlength=k) / np.maximum(cnt, 1)
-    order = np.lexsort((w, g))
-    distinct = np.bincount(g[order][np.concatenate([[True], (w[order][1:] != w[order][:-1]) | (g[order][1:] != g[order][:-1])])], minlength=k)
+    each = np.sort(_pairs(g, w))
+    distinct = np.bincount(each[_starts(each)] >> 32, minlength=k)
     length = np.bincount(g, minlength=k)
     own_share = 1 - distinct / length
     left = np.where(np.concatenate([[False], in_row[1:] == in_row[:-1]]), np.concatenate([[0], mean[:-1]]), mean)
