@@ -241,3 +241,32 @@ def test_lists_grow_with_the_collection(spark, monkeypatch):
     assert 100 <= len(lists) <= 160 and len(lists.coarse) == 12
     near = lists.nearest(m[:50], 8)
     assert near.shape == (50, 8) and (near < len(lists)).all() and (near[:, 0] >= 0).all()
+
+
+def partners(rng, n, cosine):
+    """``n`` random vectors, then for each one of the given cosine to it."""
+    q, u = (rng.standard_normal((n, 64)) for _ in range(2))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    u -= (u * q).sum(axis=1, keepdims=True) * q
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return np.concatenate([q, cosine * q + np.sqrt(1 - cosine**2) * u])
+
+
+def test_no_pair_of_the_threshold_is_left_out(spark):
+    """All pairs lie near the threshold, where a fixed number of lists loses most; a pair on it is one, and repeated rows change nothing."""
+    n = 6000
+    m = np.concatenate([x for c in (0.85, 0.87, 0.9) for x in partners(np.random.default_rng(6), n // 3, c).reshape(2, -1, 64).transpose(1, 0, 2)]).reshape(-1, 64)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "rec_id long, embedding array<double>")
+    found = lambda x: {tuple(r) for r in neighbours.pairs(neighbours.neighbours(x, "rec_id", "embedding", 5, least=0.85), 0.85).collect()}
+    true = {(2 * i, 2 * i + 1) for i in range(n)}
+    got = found(df)
+    assert len(true & got) >= 0.9999 * n
+    few = df.where("rec_id < 400").drop("embedding").join(df, "rec_id")
+    assert found(few.unionByName(few)) == found(few)
+
+
+def test_repeated_rows_take_no_places(spark):
+    m = np.random.default_rng(8).standard_normal(64) + 0.2 * np.random.default_rng(9).standard_normal((6, 64))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)] * 3, "rec_id long, embedding array<double>")
+    got = neighbours.neighbours(df, "rec_id", "embedding", 5, least=0.5).collect()
+    assert sorted((r["id"], r["other"]) for r in got) == [(i, j) for i in range(6) for j in range(6) if i != j]
