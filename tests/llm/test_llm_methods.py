@@ -47,6 +47,21 @@ def test_prior_outweighs_any_votes(spark):
     assert {r["id"]: r["kept_value"] for r in got.collect()} == {"e": "high", "f": "late"}
 
 
+def test_prior_shapes_accuracies(spark):
+    """Three sources of little trust agree against a trusted one: they are wrong together, and what is left to votes goes to the source that agrees with it."""
+    at, rows = dt.datetime(2025, 1, 1), []
+    for i in range(100):
+        truth = f"true {i}"
+        rows += [(f"e{i}", truth, "best"), (f"e{i}", truth if i % 10 else f"slip {i}", "fair")]
+        rows += [(f"e{i}", truth if i % 3 == 0 else f"lie {i}", s) for s in ("b", "c", "d")]
+    rows += [(f"t{i}", v, s) for i in range(20) for v, s in (("z by fair", "fair"), ("a by b", "b"))]
+    e = spark.createDataFrame([(i, v, None, None, s, at) for i, v, s in rows], ENT)
+    s = spark.createDataFrame([("best", 5), *[(x, 1) for x in ("fair", "b", "c", "d")]], "source string, trust int")
+    got = {r["id"]: r for r in fusion.fuse(e, s).collect()}
+    assert all(got[f"e{i}"]["kept_value"] == f"true {i}" and got[f"e{i}"]["posterior"] > 0.99 and got[f"e{i}"]["accuracy"] > 0.95 for i in range(100))
+    assert {got[f"t{i}"]["kept_value"] for i in range(20)} == {"z by fair"}
+
+
 # 2: the boundary is that of the cuts
 
 
