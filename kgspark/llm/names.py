@@ -36,7 +36,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, product
+from functools import lru_cache
+from itertools import chain, combinations, product
 
 import numpy as np
 import pandas as pd
@@ -190,6 +191,8 @@ def walk(trie: Trie, root: np.ndarray, word: np.ndarray, own: np.ndarray, letter
     full = (one << (n + one)) - one
     low = ~((one << (n // two)) - one)
     most = [np.where(edits >= i, full if i < 2 else full & low, np.uint64(0)).astype(np.uint64) for i in range(EDITS + 1)]
+    may = [np.where(edits >= i, ~np.uint64(0), np.uint64(0)) for i in range(EDITS + 1)]
+    shortest, longest, most_errors = size - edits, size + edits, edits.astype(np.uint8)
     q, node = word, root
     state = [(((one << np.uint64(i + 1)) - one) & most[i])[q] for i in range(EDITS + 1)]
     swap = [np.zeros(len(q), np.uint64) for _ in range(EDITS)]
@@ -201,25 +204,30 @@ def walk(trie: Trie, root: np.ndarray, word: np.ndarray, own: np.ndarray, letter
             break
         begin = np.cumsum(many) - many
         node = (trie.first[node] - begin)[rep] + np.arange(len(rep))
+        # each test on what the ones before it leave
         z = q[rep]
-        n_z, e_z, b_z = size[z], edits[z], bag[z]
-        fit = (trie.long[node] >= n_z - e_z) & (trie.short[node] <= n_z + e_z)
-        fit &= (np.bitwise_count(trie.all[node] & ~b_z) <= e_z) & (np.bitwise_count(b_z & ~trie.any[node]) <= e_z)
+        b_z, e_z = bag[z], most_errors[z]
+        fit = np.flatnonzero(np.bitwise_count(trie.all[node] & ~b_z) <= e_z)
+        rep, node, z, b_z, e_z = rep[fit], node[fit], z[fit], b_z[fit], e_z[fit]
+        fit = np.flatnonzero(np.bitwise_count(b_z & ~trie.any[node]) <= e_z)
+        rep, node, z = rep[fit], node[fit], z[fit]
+        fit = np.flatnonzero((trie.long[node] >= shortest[z]) & (trie.short[node] <= longest[z]))
         rep, node, q = rep[fit], node[fit], z[fit]
         depth += 1
         m = masks[q, trie.letter[node]]
-        new, pend = [((state[0][rep] & m) << one) & most[0][q]], []
+        before = state[0][rep]
+        new, pend = [((before & m) << one) & most[0][q]], []
         for i in range(1, EDITS + 1):
-            s, before, cap = state[i][rep], state[i - 1][rep], most[i][q]
+            s, cap = state[i][rep], most[i][q]
             t = (s & m) << one | before | before << one | new[i - 1] << one | (swap[i - 1][rep] & m) << two
             new.append(t & cap)
-            pend.append(np.where(cap > 0, before & (m >> one), np.uint64(0)))
+            pend.append(before & (m >> one) & may[i][q])
+            before = s
         alive = new[0] | pend[0]
         for t in (*new[1:], *pend[1:]):
             alive |= t
-        keep = alive != 0
         own = own[rep]
-        keep &= own | (new[0] == 0) | (letters[q] != depth)
+        keep = np.flatnonzero((alive != 0) & (own | (new[0] == 0) | (letters[q] != depth)))
         q, node, own, state, swap = q[keep], node[keep], own[keep], [t[keep] for t in new], [t[keep] for t in pend]
         ends = trie.at[node + 1] - trie.at[node]
         hit = np.flatnonzero(ends > 0)
@@ -243,42 +251,50 @@ def key_size(n: int) -> int:
 
 def shard_keys(w: str, asks: bool) -> set[str]:
     """Keys of the first letters (<) and, reversed, of the last (>): a recorded word gives its first letters and their forms with one less, a typed word those of any within one edit."""
-    n, out = len(w), set()
-    for h in {key_size(n)} if not asks else {key_size(m) for m in range(n - EDITS, n + EDITS + 1)}:
-        for side, s in (("<", w), (">", w[::-1])):
-            p, t = s[:h], f"{side}{h}"
-            out.add(t + p)
-            out.update([t + p[:i] + p[i + 1 :] for i in range(len(p))])
-            if asks:
-                q = s[: h + 1]
-                out.update([t + q[:i] + q[i + 1 :] for i in range(len(q))])
+    n, out, back = len(w), set(), w[::-1]
+    for h in {key_size(n)} if not asks else {key_size(n - EDITS), key_size(n + EDITS)}:
+        out |= _forms(f"<{h}", w[: h + asks], h)
+        out |= _forms(f">{h}", back[: h + asks], h)
     return out
 
 
+@lru_cache(100_000)
+def _forms(t: str, q: str, h: int) -> frozenset[str]:
+    """``t`` before the first ``h`` letters of ``q``, these with one less, and, if it has more letters, all of them with one less."""
+    p = q[:h]
+    out = {t + p, *[t + p[:i] + p[i + 1 :] for i in range(len(p))]}
+    return frozenset(out.union([t + q[:i] + q[i + 1 :] for i in range(len(q))]))
+
+
 def search(asked: list[tuple[str, str]], known: list[tuple[str, str]]) -> set[tuple[str, str, int]]:
     """(asked word, known word, distance) of the (key, word) pairs that share a key and are near each other."""
     keys: dict[str, int] = {}
     roots = np.array([keys.setdefault(k, len(keys)) for k, _ in known], dtype=np.int64)
     asked = [x for x in asked if x[0] in keys and len(x[1]) > 3]
     out = _search_long([x for x in asked if len(x[1]) > LONGEST], known)
-    asked = [x for x in asked if len(x[1]) <= LONGEST]
+    # words that lie together have the same key, hence the same nodes
+    asked = sorted(x for x in asked if len(x[1]) <= LONGEST)
     if not asked:
         return out
-    turn = lambda k, w: w if k[0] == "<" else w[::-1]
+    # of each key: whether it is backwards, the letters it was made for, and its own
+    back, made = np.array([k[0] == ">" for k in keys]), np.array([int(k[1]) for k in keys])
+    start, held = _letters([k[2:] for k in keys], np.zeros(len(keys), bool))
     points, size = _letters([w for _, w in known], np.array([k[0] == ">" for k, _ in known]))
     signs = np.unique(points)  # the first is 0, beyond the end of a word
     tree = Trie(np.searchsorted(signs, points), size, roots, bags(points))
     for lo in range(0, len(asked), 4000):
         part = asked[lo : lo + 4000]
-        points, size = _letters([w for _, w in part], np.array([k[0] == ">" for k, _ in part]))
+        root = np.array([keys[k] for k, _ in part])
+        points, size = _letters([w for _, w in part], back[root])
         at = np.minimum(np.searchsorted(signs, points), len(signs) - 1)
         masks, rows = np.zeros((len(part), len(signs)), np.uint64), np.arange(len(part))
         for j in range(points.shape[1]):
             ok = (points[:, j] > 0) & (signs[at[:, j]] == points[:, j])  # letters that no known word has match nothing
             masks[rows[ok], at[ok, j]] |= np.uint64(1 << j)
         edits = np.where(size >= LONG, EDITS, EDITS - 1)
-        own = np.array([turn(k, w).startswith(k[2:]) and len(k) == int(k[1]) + 2 for k, w in part])
-        q, k, e = walk(tree, np.array([keys[x] for x, _ in part]), rows, own, np.array([int(x[1]) for x, _ in part]), masks, size, edits, bags(points))
+        own, n = held[root] == made[root], min(start.shape[1], points.shape[1])
+        own &= (held[root] <= n) & ((points[:, :n] == start[root, :n]) | (start[root, :n] == 0)).all(axis=1)
+        q, k, e = walk(tree, root, rows, own, made[root], masks, size, edits, bags(points))
         out.update((part[i][1], known[j][1], d) for i, j, d in zip(q.tolist(), k.tolist(), e.tolist()))
     return out
 
@@ -309,8 +325,9 @@ def trie_join(asked: DataFrame, known: DataFrame) -> DataFrame:
     def keys(asks: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(k, w) for w in pdf.iloc[:, 0] for k in shard_keys(w, asks)]
-                yield pd.DataFrame(rows, columns=["k", "w"])
+                words = pdf.iloc[:, 0].tolist()
+                of = [shard_keys(w, asks) for w in words]
+                yield pd.DataFrame({"k": list(chain.from_iterable(of)), "w": np.repeat(np.array(words, dtype=object), [len(k) for k in of])})
 
         return run
 
@@ -386,6 +403,19 @@ class Comparer:
         """At most ``most`` edits, neighbours changing places being one."""
         if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > most:
             return 0.0
+        # what both begin and end with costs nothing
+        i, n = 0, min(len(a), len(b))
+        while i < n and a[i] == b[i]:
+            i += 1
+        j = 0
+        while j < n - i and a[-1 - j] == b[-1 - j]:
+            j += 1
+        a, b = a[i : len(a) - j], b[i : len(b) - j]
+        if not a or not b or len(a) == len(b) == 1:
+            e = max(len(a), len(b))
+            return 1 - 0.1 * e if e <= most else 0.0
+        if len(set(a).difference(b)) > most + 1 or len(set(b).difference(a)) > most + 1:
+            return 0.0  # each letter that the other lacks is an edit
         m = Automaton(a, most + 1)
         s = m.start
         for c in b:

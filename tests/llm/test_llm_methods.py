@@ -285,3 +285,23 @@ def test_repeated_rows_take_no_places(spark):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)] * 3, "rec_id long, embedding array<double>")
     got = neighbours.neighbours(df, "rec_id", "embedding", 5, least=0.5).collect()
     assert sorted((r["id"], r["other"]) for r in got) == [(i, j) for i in range(6) for j in range(6) if i != j]
+
+
+# 7: the comparison gives what the whole automaton gives, which is built only where it can accept
+
+
+def test_damaged_words_need_few_automata(monkeypatch):
+    from kgspark.llm import names
+
+    def whole(a, b, most):
+        m = names.Automaton(a, most + 1)
+        s = m.start
+        for c in b:
+            s = m.step(s, c)
+        e = names.swap_distance(a, b) if (m.errors(s) or 0) > 1 else m.errors(s)
+        return 1 - 0.1 * e if e is not None and e <= most and min(len(a), len(b)) > 3 and abs(len(a) - len(b)) <= most else 0.0
+
+    some = ["".join(RNG.choice("abc") for _ in range(RNG.randint(3, 8))) for _ in range(150)]
+    assert all(names.Comparer._damaged(a, b, k) == whole(a, b, k) for a in some for b in some for k in (1, 2))
+    monkeypatch.setattr(names, "Automaton", None)
+    assert [names.Comparer._damaged("rosenthal", b, 2) for b in ("kimmovich", "rosenthals", "rozenthal", "rosental")] == [0.0, 0.9, 0.9, 0.9]
