@@ -26,7 +26,7 @@ def _shuffled(spark) -> int:
     return sum(rows.apply(i).totalShuffleWrite() for i in range(rows.size()))
 
 
-@pytest.mark.parametrize("query", ["semantic_dedup", "similar_names"])
+@pytest.mark.parametrize("query", ["semantic_dedup", "similar_names", "vector_pairs_threshold"])
 def test_vectors_are_not_copied_for_each_list(spark, tmp_path, query):
     m = _spread(3000, 64, 5)
     rows = [(i, f"name {i:05d}", ["a" if i % 2 else "b", "c" if i % 7 else "d"], m[i].tolist()) for i in range(3000)]
